@@ -50,18 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def crc_fold(doc_id, folds: int):
     """crc32 of the decimal doc_id, modulo ``folds``; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
-
-
-def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
-    """At most ``rows`` rows of ``df``, the same ones whatever the partitioning.
-
-    The sort key is a hash, and ``orderBy().limit()`` keeps ``rows`` rows a task at most.
-    """
-    return df.orderBy(F.xxhash64(key), key).limit(rows).collect()
