@@ -104,7 +104,8 @@ class Mixture:
         every = np.zeros(len(self.languages))
         every[keep] = share
         best = int(every.argmax())
-        sure = 1 / np.exp(np.minimum(alone - alone[best], 50)).sum()
+        # In one language alone, how much likelier it is than the others.
+        sure = 1 / np.exp(np.minimum(alone - alone[best], 50)).sum() if len(keep) == 1 else 1.0
         return self.languages[best], float(min(1.0, max(0.0, every[best] * sure))), every.tolist()
 
 

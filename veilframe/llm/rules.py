@@ -89,7 +89,7 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 
 def choose_cutoffs(good: dict, risk: float = RISK, error: float = ERROR, rules: dict | None = None) -> dict:
-    """``good``: (stratum, rule) -> good rows by how many cutoffs their measure reaches.
+    """``good``: (stratum, rule) -> good rows by how many cutoffs, from the strictest on, their measure reaches.
 
     Returns (stratum, rule) -> strictest cutoff that its sequence of tests accepts.
     """
@@ -99,8 +99,8 @@ def choose_cutoffs(good: dict, risk: float = RISK, error: float = ERROR, rules:
     for (stratum, rule), reached in good.items():
         n = sum(reached.values())
         for k, cutoff in enumerate(rules[rule]):
-            rejected = sum(v for j, v in reached.items() if j > k)
-            if rejected > 2 * risk * n or binomial_cdf(rejected, n, risk) > level:
+            rejected = sum(v for j, v in reached.items() if j >= len(rules[rule]) - k)
+            if rejected > risk * n or binomial_cdf(rejected, n, risk) > level:
                 break
             out[stratum, rule] = cutoff
     return out
