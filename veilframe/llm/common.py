@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[sc.applicationId]
 
 
+def per_worker(key: tuple, make):
+    """``make()`` once per Python worker process, whichever tasks it runs; caches live there."""
+    store = sys.modules.setdefault("_veilframe_per_worker", types.ModuleType("_veilframe_per_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and return a scan of it.
 

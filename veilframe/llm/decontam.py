@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import per_worker
+
 #: Tokens of the shortest tile; share of an item's tokens that marks a document.
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Characters of benchmark items held in memory at once; more are taken in blocks.
@@ -153,7 +155,7 @@ def _pass(docs: DataFrame, block: Benchmark, coverage: float) -> DataFrame:
     at = [schema.names.index(c) for c in ("coverage", "item_ids")]
 
     def run(batches):
-        tokens = Tokens()
+        tokens = per_worker(("tokens",), Tokens)
         for batch in batches:
             best, ids = (batch.column(k).to_pylist() for k in at)
             for row, text in enumerate(batch.column("text").to_pylist()):

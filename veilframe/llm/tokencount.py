@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import per_worker
+
 #: Trie nodes, and words with known counts, that a Python worker keeps before it starts afresh.
 MAX_NODES, MAX_WORDS = 400_000, 400_000
 WORD_START = "▁"
@@ -87,8 +89,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        trie = Trie(vocabulary(vocabulary_path))
-        counts: dict[bytes, int] = {}
+        trie, counts = per_worker(("trie", vocabulary_path), lambda: (Trie(vocabulary(vocabulary_path)), {}))
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column("text").to_pylist():
