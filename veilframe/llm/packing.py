@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import per_worker, staged
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words with known ids that a Python worker keeps before it starts afresh.
-CACHE_WORDS = 400_000
+#: Words with known ids in a generation; a Python worker keeps the current one and the one before.
+CACHE_WORDS = 600_000
+#: Texts that are encoded at once.
+TEXTS = 500
 #: Gaps of fewer tokens stay padding: cutting a document for them costs more than it gains.
 MIN_FILL = 8
 #: Rows that one rank group holds on average.
@@ -51,25 +54,26 @@ class WordEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
-    def __call__(self, text: str) -> bytes:
-        """The ids, packed as ``dtype``."""
-        words = text.encode("utf-8", "surrogatepass").split()
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(cache) > self.cache_words:
-            cache.clear()
-        new = list({w for w in words if w not in cache})
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed as ``dtype``."""
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        words = set().union(*split)
+        if len(self.cache) + len(words) > self.cache_words:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        new = words.difference(cache)
+        cache.update((w, older[w]) for w in new.intersection(older))
+        new = list(new.difference(older))
+        kind = "I" if self.wide else "H"
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for w, e in zip(part, found):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(cache.__getitem__, words))
+                cache[w] = array(kind, e.ids).tobytes()
+        return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -89,12 +93,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
     )
 
     def run(batches):
-        encode = WordEncoder(tokenizer_path)
+        encode = per_worker(("word_encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         end = np.array([END_ID], encode.dtype).tobytes()
         for batch in batches:
             rows = defaultdict(list)
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(encode(text or "") + end, encode.dtype)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for raw in (x for k in range(0, len(texts), TEXTS) for x in encode(texts[k : k + TEXTS])):
+                ids = np.frombuffer(raw + end, encode.dtype)
                 cut = len(ids) // sequence * sequence
                 rows["n_tokens"].append(len(ids))
                 rows["full_crcs"].append([_crc(ids[k : k + sequence]) for k in range(0, cut, sequence)])
