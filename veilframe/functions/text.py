@@ -46,6 +46,11 @@ def is_meaningful(c, least: int = DEFAULT.native_text_min_alnum) -> Column:
     return F.coalesce(alnum_count(c), F.lit(0)) >= least
 
 
+def strip(c) -> Column:
+    """Without white space at either end; empty for null."""
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
+
+
 def collapse(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
 
@@ -86,14 +91,14 @@ def chunk(df: DataFrame, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.
 
 def strip_think(c) -> Column:
     """Without ``<think>`` blocks; an unclosed one reaches to the end."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?s)<think>.*?(?:</think>|\z)", ""))
+    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?s)<think>.*?(?:</think>|\z)", ""))
 
 
 def strip_fence(c) -> Column:
     """The inside of a Markdown code fence, if the text is one."""
-    x = F.trim(F.coalesce(col(c), F.lit("")))
+    x = strip(c)
     inner = F.regexp_replace(F.regexp_replace(x, r"^```[^\n]*\n?", ""), r"```$", "")
-    return F.when(x.startswith("```"), F.trim(inner)).otherwise(x)
+    return F.when(x.startswith("```"), strip(inner)).otherwise(x)
 
 
 def repair_json(c) -> Column:
@@ -118,9 +123,11 @@ def compact(c, most: int = 400) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 
 
-def prompt(text, table_hint=F.lit(False), retry=F.lit(None), limit: int = DEFAULT.llm_text_limit) -> Column:
+def prompt(text, table_hint: Column | None = None, retry: Column | None = None, limit: int = DEFAULT.llm_text_limit) -> Column:
     """Messages that ask a language model for quotes as JSON; ``retry`` holds a response that could not be read."""
     system = F.lit('List every personal or confidential item of the text. Answer with a JSON array of objects {"quote", "category", "confidence"} only; quotes are verbatim.')
+    table_hint = F.lit(False) if table_hint is None else table_hint
+    retry = F.lit(None) if retry is None else retry
     table = F.when(table_hint, F.lit(" Rows between [TABLE] and [/TABLE] hold cells separated by |; quote single cells.")).otherwise(F.lit(""))
     again = F.when(retry.isNotNull(), F.concat(F.lit("\nThe last answer could not be read: "), F.substring(retry.cast("string"), 1, 1200))).otherwise(F.lit(""))
     user = F.concat(F.lit("Text:\n"), F.substring(col(text), 1, limit), again)

@@ -18,12 +18,13 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
 
 def validate_uploads(files: DataFrame, max_mb: int = DEFAULT.max_upload_mb) -> DataFrame:
     """``files`` with status and reason: the first test that a file fails, else 200."""
+    answer = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
     reject = (
-        F.when(~F.lower("path").endswith(".pdf"), F.struct(F.lit(400).alias("status"), F.lit("not a .pdf file").alias("reason")))
-        .when(F.col("length") == 0, F.struct(F.lit(400), F.lit("empty file")))
-        .when(F.col("length") > max_mb * 1024 * 1024, F.struct(F.lit(413), F.lit("too large")))
-        .when(F.substring("content", 1, 4) != F.lit(b"%PDF"), F.struct(F.lit(400), F.lit("no PDF signature")))
-        .otherwise(F.struct(F.lit(200), F.lit(None).cast("string")))
+        F.when(~F.lower("path").endswith(".pdf"), answer(400, "not a .pdf file"))
+        .when(F.col("length") == 0, answer(400, "empty file"))
+        .when(F.col("length") > max_mb * 1024 * 1024, answer(413, "too large"))
+        .when(F.substring("content", 1, 4) != F.lit(b"%PDF"), answer(400, "no PDF signature"))
+        .otherwise(answer(200, None))
     )
     return files.withColumn("_r", reject).select(*files.columns, F.col("_r.status").alias("status"), F.col("_r.reason").alias("reason"))
 
@@ -56,7 +57,6 @@ def _first(item: dict, *names):
     return next((item[n] for n in names if item.get(n) is not None), None)
 
 
-@F.udf(_SPANS)
 def _gold(mask, labels):
     out = []
     for value, is_mask in ((mask, True), (labels, False)):
@@ -81,7 +81,7 @@ def gold_spans(rows: DataFrame) -> DataFrame:
 
     Both are JSON or Python literals. Offsets are clamped to the text; a start of 0 is one.
     """
-    rows = rows.select("id", "source_text", F.explode(_gold("privacy_mask", "span_labels")).alias("g"))
+    rows = rows.select("id", "source_text", F.explode(F.udf(_gold, _SPANS)("privacy_mask", "span_labels")).alias("g"))
     start, end = F.greatest(F.lit(0), F.col("g.start")), F.least(F.length("source_text"), F.col("g.end"))
     rows = rows.select("id", start.alias("start"), end.alias("end"), normalize_label("g.label").alias("label"), F.coalesce(F.nullif(F.trim("g.value"), F.lit("")), F.substring("source_text", start + 1, end - start)).alias("text"))
     return rows.where("end > start").dropDuplicates(["id", "start", "end", "label"]).withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("gold"))
