@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Largest share of good texts that a rule may reject in a stratum; chance that any claim is wrong.
 RISK, ERROR = 0.005, 0.05
+#: Of that share, how much the holdout itself may show; sequences end before they use up the limit.
+SEEN = 0.2
 #: Lower ends of the strata, in words.
 STRATA = (0, 100, 1000)
 #: Cutoffs by rule, from lenient to strict.
@@ -100,7 +102,7 @@ def choose_cutoffs(good: dict, risk: float = RISK, error: float = ERROR, rules:
         n = sum(reached.values())
         for k, cutoff in enumerate(rules[rule]):
             rejected = sum(v for j, v in reached.items() if j >= len(rules[rule]) - k)
-            if rejected > risk * n or binomial_cdf(rejected, n, risk) > level:
+            if rejected > SEEN * risk * n or binomial_cdf(rejected, n, risk) > level:
                 break
             out[stratum, rule] = cutoff
     return out
@@ -131,7 +133,11 @@ def fit(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = E
     Only counts by stratum, rule and cutoff reach the driver.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    reached = F.array(*(F.struct(F.lit(rule).alias("rule"), F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda c, m=m: c <= m)).alias("k")) for rule, m in measures().items()))
+
+    def cutoffs_reached(rule, measure):
+        return F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda c: c <= measure))
+
+    reached = F.array(*(F.struct(F.lit(rule).alias("rule"), cutoffs_reached(rule, m).alias("k")) for rule, m in measures().items()))
     counts = rows.join(good, "doc_id").select(_stratum().alias("stratum"), F.explode(reached).alias("x")).groupBy("stratum", "x.rule", "x.k").agg(F.count("*").alias("n"))
     found: dict = {}
     for r in counts.collect():
