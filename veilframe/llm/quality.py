@@ -19,13 +19,15 @@ from .common import crc_fold
 #: Bytes of a piece: short, so that the dictionary and not the text's own past is what helps.
 PIECE = 1024
 LEVEL = 5
+#: Bytes of a text that is half short.
+SHORT = 50
 DICTIONARY_BYTES = 256 * 1024
 #: Labelled rows a class for the dictionaries, pieces a class taken from them, and rows a class for the calibration.
 SAMPLE_ROWS, SAMPLE_PIECES, CALIBRATION_ROWS = 3000, 6000, 3000
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, weights=(0.0, 1.0)):
+    def __init__(self, good: bytes, bad: bytes, weights=(0.0, 0.0, 0.0)):
         self.dictionaries = (good, bad)
         self.weights = weights
         self._ready = None
@@ -37,8 +39,12 @@ class Model:
         self.dictionaries, self.weights = state
         self._ready = None
 
-    def difference(self, text: str | None) -> float:
-        """(size with the bad dictionary - size with the good one) / size; 0 for an empty text."""
+    def features(self, text: str | None) -> tuple[float, float]:
+        """(size with the bad dictionary - size with the good one) / size, and how short the text is.
+
+        The second, from 1 for an empty text down to 0, gives texts too short for a
+        difference their own base rate.
+        """
         if self._ready is None:
             self._ready = []
             for data in self.dictionaries:
@@ -48,15 +54,16 @@ class Model:
         good, bad = self._ready
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0
+            return 0.0, 1.0
         diff = 0
         for k in range(0, len(raw), PIECE):
             part = raw[k : k + PIECE]
             diff += len(bad(part)) - len(good(part))
-        return diff / len(raw)
+        return diff / len(raw), SHORT / (SHORT + len(raw))
 
     def score(self, text: str | None) -> float:
-        z = self.weights[0] + self.weights[1] * self.difference(text)
+        x, short = self.features(text)
+        z = self.weights[0] + self.weights[1] * x + self.weights[2] * short
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -66,21 +73,22 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(parts[0].union(parts[1]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope, by Newton steps with a slight ridge; classes weigh as they occur."""
-    if not len(x) or y.min() == y.max():
-        return 0.0, 1.0
-    scale = x.std() or 1.0
-    X = np.stack([np.ones_like(x), x / scale], 1)
-    w = np.zeros(2)
+def _logistic(features: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Intercept and weights, by Newton steps with a slight ridge; all 0 without both classes."""
+    if not len(y) or y.min() == y.max():
+        return (0.0,) * (features.shape[1] + 1)
+    scale = np.where(features.std(axis=0) > 0, features.std(axis=0), 1.0)
+    x = np.column_stack([np.ones(len(y)), features / scale])
+    ridge = np.full(x.shape[1], 1e-2)
+    ridge[0] = 1e-6
+    w = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        H = (X * (p * (1 - p))[:, None]).T @ X + np.diag([1e-6, 1e-3])
-        step = np.linalg.solve(H, X.T @ (y - p) - np.array([1e-6, 1e-3]) * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1] / scale)
+    return float(w[0]), *(w[1:] / scale).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_use, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -99,33 +107,29 @@ def fit(docs: DataFrame, labels: DataFrame, may_use, sample_rows: int = SAMPLE_R
     for q in (1, 0):
         mine = pieces.where(F.col("quality") == q).select("p.piece", F.xxhash64("doc_id", "p.k").alias("h"), "doc_id", "p.k")
         sets.append([r["piece"].encode("utf-8", "surrogatepass") for r in mine.orderBy("h", "doc_id", "k").limit(SAMPLE_PIECES).collect()])
-    model = Model(*(dictionary(s) for s in sets))
+    size = min(DICTIONARY_BYTES, *(sum(map(len, x)) // 2 for x in sets))
+    model = Model(*(dictionary(x, size) for x in sets))
 
     held = texts.join(_sample(labels.where(half == 1), CALIBRATION_ROWS), "doc_id")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.difference(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("quality").cast(pa.int32())], names=["x", "y"])
-
-    found = held.mapInArrow(run, "x double, y int").toArrow()
-    if all(sets):
+            found = [model.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column("quality").cast(pa.int32())], names=["x", "short", "y"])
+
+    found = held.mapInArrow(run, "x double, short double, y int").toArrow()
+    y = np.array(found["y"], float)
+    counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if all(sets) and len(counts) == 2 and len(set(y)) == 2:
+        w = _logistic(np.column_stack([found["x"], found["short"]]), y)
         # The sample is balanced, the labels are not: weigh the intercept back.
-        x, y = np.array(found["x"]), np.array(found["y"], float)
-        counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-        w0, w1 = _logistic(x, y)
-        taken = (max(1, (y == 0).sum()), max(1, (y == 1).sum()))
-        if len(counts) == 2:
-            w0 += float(np.log(counts[1] / counts[0]) - np.log(taken[1] / taken[0]))
-        model.weights = (w0, w1)
-    else:
-        model.weights = (0.0, 0.0)
+        w0 = w[0] + float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
+        model.weights = (w0, *w[1:])
     return model
 
 
-def dictionary(samples: list[bytes]) -> bytes:
+def dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or raw content where there is too little text to train one."""
-    total = sum(map(len, samples))
-    size = min(DICTIONARY_BYTES, total // 4)
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -135,7 +139,7 @@ def dictionary(samples: list[bytes]) -> bytes:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of each row, from its whole text alone.
 
-    A null or empty text gets the score of no difference. Repeated rows and null doc_ids
+    A null or empty text gets the base rate of the shortest texts. Repeated rows and null doc_ids
     are scored like others; other columns are ignored; an empty table gives no rows.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
