@@ -146,13 +146,15 @@ def kind_counts(page: str | None) -> tuple[Counter, Counter]:
 
 
 #: Weights without labelled pages, and for kinds that these lack.
-PLAIN, LINK, TAG = 1.0, -0.3, -1.0
+PLAIN, LINK, TAG = 1.0, -0.3, -0.5
+#: Tags that structure text cost little.
+TEXT_TAGS = {t: -0.1 for name in "p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li b i em strong span br figure figcaption".split() for t in (name, "/" + name)}
 
 
 def fit_weights(inside: dict, outside: dict) -> dict[str, float]:
     """Weights by kind: the log of how much likelier a kind is inside; words positive, tags negative."""
     if not inside:
-        return {"w": PLAIN, "w:a": LINK}
+        return {"w": PLAIN, "w:a": LINK, **TEXT_TAGS}
     n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     out = {}
     for kind in {*inside, *outside}:
@@ -168,6 +170,7 @@ def fit_weights(inside: dict, outside: dict) -> dict[str, float]:
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the maximum-scoring region, joined by an empty line."""
+    weights = weights or fit_weights({}, {})
     seq = tokens(page)
     marked = any(inside for _, text, inside in seq if text.strip())
     best, best_from, best_to, now, now_from = 0.0, 0, 0, 0.0, 0
