@@ -65,3 +65,13 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 200), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 200: 200}
+
+
+def test_group_around_the_threshold(spark):
+    """Many copies on either side of the limit: linked and unlinked members share buckets."""
+    base = prose(5, 150, 5000)
+    docs = {k: near(base, 0.03 if k % 2 else 0.075, k) for k in range(160)}
+    docs |= {500 + k: " ".join(base.split()[k % 40 :]) for k in range(60)}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, docs.items()), 3, 85).collect()}
+    want = brute(docs, 3, 85)
+    assert got == want and len({c for _, c, _ in want.values()}) > 20

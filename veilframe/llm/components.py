@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    """Least neighbour of each u; staged, so that a join with a hot u can be split."""
-    return staged(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
-
-
 def _stars(df: DataFrame) -> DataFrame:
     return df.where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links every larger neighbour of u to the least of u and its neighbours."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    return _stars(both.where("v > u").join(least, "u").select("v", "m"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links u and its smaller neighbours to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    found = edges.join(least, "u")
+    return _stars(found.select("v", "m").union(least.select(F.col("u").alias("v"), "m")))
+
+
 def _state(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 24)), F.sum(h.bitwiseAND((1 << 24) - 1))).first())
@@ -31,16 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
     component. An empty table gives an empty result.
     """
     links = edges.where("u is not null and v is not null")
-    loops = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    now = staged(_stars(links.select(F.col("u").alias("v"), F.col("v").alias("m"))), "links")
-    state = _state(now)
-    while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_minima(both.select("u", F.least("u", "v").alias("v"))), "u").select("v", "m")
-        now = staged(_stars(large), "links")
-        small = now.join(_minima(now), "u")
-        now = staged(_stars(small.select("v", "m").union(small.select(F.col("u").alias("v"), "m"))), "links")
-        if (new := _state(now)) == state:
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    now, state = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v"), None
+    while True:
+        now = staged(_small_star(_large_star(now)), "links")
+        if (new := _state(now)) == state or not new[0]:
             break
         state = new
-    return loops.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import staged
+from .common import per_worker, staged
 from .components import components
 
 #: Minima in a band.
@@ -20,8 +21,10 @@ BAND_ROWS = 5
 MISS = 1e-6
 #: Word hashes and signatures that a Python worker keeps.
 CACHE_WORDS, CACHE_SETS = 400_000, 2_000
-#: Star rounds before the links left to test are listed outright.
-STAR_ROUNDS = 6
+#: Centres that each bucket's members are held against, before the pairs left are listed.
+STAR_ROUNDS = 2
+#: Members of buckets in which pairs are listed outright; the others' pairs go through a prefix filter.
+SMALL_BUCKET = 8
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -98,7 +101,7 @@ def _signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
     )
 
     def run(batches):
-        hashes, sign, known = _WordHashes(), Signer(bands), {}
+        hashes, sign, known = per_worker(("word_hashes",), _WordHashes), Signer(bands), {}
         for batch in batches:
             sizes, keys, signatures = [], [], []
             for text in batch.column("text").to_pylist():
@@ -120,7 +123,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """set_key and shingle hashes of each row."""
 
     def run(batches):
-        hashes = _WordHashes()
+        hashes = per_worker(("word_hashes",), _WordHashes)
         for batch in batches:
             raw = [shingles(t, words, hashes).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["set_key", "shingles"])
@@ -148,6 +151,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of ``members(set_key, component)`` of different components that may be similar enough.
+
+    Exact: with the shingles of every set ordered by rarity, similar sets share one among
+    their first (1 - t) of all, and where they first meet, enough must be left of both for
+    the overlap that the threshold asks. Shingles of a single set lead nowhere. Most
+    members that share a shingle are of one component there and are not paired.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for m, component, raw in zip(*(batch.column(c).to_pylist() for c in ("set_key", "component", "shingles"))):
+                s = np.frombuffer(raw, np.int64)
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.binary()), pa.array([component] * n, pa.binary()), pa.array(np.full(n, n)), pa.array(s)], names=["x", "component", "size", "token"])
+
+    rows = members.join(sets, "set_key").select("set_key", "component", "shingles").mapInArrow(run, "x binary, component binary, size long, token long")
+    rows = staged(rows, "tokens")
+    often = staged(rows.groupBy("token").agg(F.count("*").alias("df")), "often")
+    rows = rows.join(often, "token").withColumn("at", F.row_number().over(Window.partitionBy("x").orderBy("df", "token")) - 1)
+    rows = staged(rows.where((F.col("df") > 1) & (F.col("at") < F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)), "prefixes")
+    by_token = rows.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"))
+    by_token = staged(by_token.where("k > 1").select("token", "main"), "by_token")
+    rows = staged(rows.join(by_token, "token"), "mixed")
+    few = rows.where("component != main").select("token", F.col("x").alias("y"), F.col("component").alias("of"), F.col("size").alias("size_y"), F.col("at").alias("at_y"))
+    overlap = F.least(F.col("size") - F.col("at"), F.col("size_y") - F.col("at_y"))
+    near = (100 + percent) * overlap >= percent * (F.col("size") + F.col("size_y"))
+    return rows.join(few, "token").where((F.col("component") != F.col("of")) & near).select("x", "y")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of rows of ``docs(doc_id, text)`` linked by 100 * common >= percent * union.
 
@@ -157,9 +190,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Rows with the same shingle set are one class from the start. Classes that share a
     band key are candidates: in each bucket all members are held against one centre, and
     links are confirmed on full sets. Buckets whose members ended up in one component are
-    finished, since further links in them change nothing; the rest gets other centres,
-    and at last every pair of different components. So no link that matters is lost, and
-    groups of copies cost a number of tests in proportion to their size.
+    finished, since further links in them change nothing; the rest gets another centre.
+    In what is left then every pair of different components is tested that an exact prefix
+    filter does not rule out. So no link that matters is lost, and groups of copies cost
+    tests in proportion to their size.
 
     Null and empty texts have an empty set and link with nothing. A null doc_id takes
     part by its text: its component_id is the least id among the others, or null, and it
@@ -174,44 +208,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         classes.select("set_key", F.posexplode("bands").alias("band", "h")).select("set_key", F.xxhash64("band", "h").alias("bucket")),
         "members",
     )
-    shared = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    shared = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = staged(members.join(shared, "bucket"), "shared_members")
+    weights = staged(members.groupBy("set_key").agg(F.sum("n").alias("weight")), "weights")
 
     wanted = members.select("set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("rep").distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
     sets = staged(_sets(texts, words).dropDuplicates(["set_key"]), "sets")
 
-    def tested(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def tested(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        pairs = staged(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-        return staged(_verified(pairs, sets, percent), "verified"), pairs
+        return staged(_verified(pairs, sets, percent), "verified")
 
-    centres = staged(members.groupBy("bucket").agg(F.min("set_key").alias("y")), "centres")
-    links, done = tested(members.join(centres, "bucket").where("set_key != y").select(F.col("set_key").alias("x"), "y"), None)
+    # A bucket's centre is its member with most company: buckets of one group mostly share it, and so their tests.
+    centres = members.join(weights, "set_key").groupBy("bucket").agg(F.max_by("set_key", F.struct("weight", "set_key")).alias("y"))
+    members = members.select("bucket", "set_key")
+    links = tested(members.join(staged(centres, "centres"), "bucket").where("set_key != y").select(F.col("set_key").alias("x"), "y"))
     found = staged(components(links), "components")
-    for k in range(STAR_ROUNDS + 1):
+    for k in range(STAR_ROUNDS):
         named = members.join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-        named = staged(named, "named")
-        split = staged(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n"), "split")
-        left = split.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.count("*")).first()
-        if not left[1]:
+        split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("set_key", "component"), F.xxhash64("set_key", F.lit(k))).alias("c"))
+        split = staged(split.where("lo != hi").select("bucket", "n", F.col("c.set_key").alias("y"), F.col("c.component").alias("of")), "split")
+        if split.isEmpty():
             break
-        open_rows = staged(named.join(split.select("bucket"), "bucket"), "open")
-        if k < STAR_ROUNDS and left[0] > 4 * open_rows.count():
-            # Another centre: the member that is least by a hash that changes each round.
-            centres = open_rows.groupBy("bucket").agg(F.min_by(F.struct("set_key", "component"), F.xxhash64("set_key", F.lit(k))).alias("c"))
-            centres = staged(centres.select("bucket", F.col("c.set_key").alias("y"), F.col("c.component").alias("of")), "centres")
-            pairs = open_rows.join(centres, "bucket").where("component != of").select(F.col("set_key").alias("x"), "y")
+        named = staged(named.join(split, "bucket"), "open")
+        members = named.select("bucket", "set_key")
+        if k < STAR_ROUNDS - 1:
+            # Another centre: the member that is least by a hash of the round.
+            pairs = named.where("component != of").select(F.col("set_key").alias("x"), "y")
         else:
-            other = open_rows.select("bucket", F.col("set_key").alias("y"), F.col("component").alias("of"))
-            pairs = open_rows.join(other, "bucket").where("component < of").select(F.col("set_key").alias("x"), "y")
-            k = STAR_ROUNDS
-        new, tried = tested(pairs, done)
-        links, done = links.union(new), done.union(tried)
-        if not new.isEmpty():
-            found = staged(components(links), "components")
-        if k == STAR_ROUNDS:
-            break
+            named = named.select("bucket", "set_key", "component", "n")
+            small = named.where(F.col("n") <= SMALL_BUCKET)
+            other = small.select("bucket", F.col("set_key").alias("y"), F.col("component").alias("of"))
+            pairs = small.join(other, "bucket").where("component < of").select(F.col("set_key").alias("x"), "y")
+            large = named.where(F.col("n") > SMALL_BUCKET).select("set_key", "component").distinct()
+            pairs = pairs.union(_prefix_pairs(large, sets, percent))
+        links = links.union(tested(pairs))
+        found = staged(components(links), "components")
 
     named = classes.select("set_key", "rep").join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
