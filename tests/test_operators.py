@@ -333,3 +333,30 @@ def test_event_streams(spark, tmp_path, sf_dir):
     q = jobs.windowed_counts(stream).writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     assert spark.table("win").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_text_with_tables(spark):
+    before = [(1, 0, 0, "Intro", "l0", 0.0, 0.0), (1, 0, 1, "line", "l0", 50.0, 0.0)]
+    table = [(1, 0, 2 + k, t, f"t{k // 2}", (k % 2) * 100.0, 50.0 + (k // 2) * 12) for k, t in enumerate(["h1", "h2", "a", "b"])]
+    after = [(1, 0, 6, "end", "l9", 0.0, 200.0), (1, 1, 0, "next", "l0", 0.0, 0.0)]
+    w = spark.createDataFrame(before + table + after, "doc_id long, page_number int, word_index int, text string, line_key string, x0 double, y0 double")
+    cells = spark.createDataFrame([(1, 0, 0, i, j, 3, 3, [2 + 2 * i + j]) for i in range(2) for j in range(2)], "doc_id long, page_number int, table_no int, row_index int, col_index int, row_count int, col_count int, word_indexes array<int>")
+    placed = canonical.place_words_and_tables(w, cells)
+    want = "Intro line\n[TABLE]\nh1 | h2 | \na | b | \n |  | \n[/TABLE]\nend\nnext"
+    assert [r.text for r in canonical.text_with_tables(placed).collect()] == [want]
+    assert all(want[r.start_char : r.end_char] == r.text for r in placed.collect())
+    plain = canonical.place_words_and_tables(w, cells.limit(0))
+    assert [r.text for r in canonical.text_with_tables(plain).collect()] == ["Intro line\nh1 h2\na b\nend\nnext"]
+
+
+def test_faces_logs_and_counts(spark):
+    faces = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, 5.0), (1, 0, 9.0, 0.0, 12.0, 5.0), (1, 2, 0.0, 0.0, 5.0, 5.0)], "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double")
+    got = resolve.resolve_entities(detect.face_detections(faces)).collect()
+    assert [(r.entity_type, len(r.boxes)) for r in got] == [("FACE", 3)]
+    logs = spark.createDataFrame([(k, f"m{k}") for k in range(9)], "ts int, message string")
+    assert [r.ts for r in jobs.newest(logs, 2).collect()] == [8, 7]
+    df, seen = jobs.observed(logs, "logs")
+    df.collect()
+    assert seen.get["rows"] == 9
+    times = spark.createDataFrame([(1, "ocr", 0.5), (1, "ocr", 0.25), (1, "llm", 1.0)], "job_id int, stage string, seconds double")
+    assert {r.stage: r.seconds for r in jobs.stage_seconds(times).collect()} == {"ocr": 0.75, "llm": 1.0}

@@ -103,3 +103,12 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", types: list
     """All text detectors, refined and without repeats."""
     found = recognize(docs, types, key, text).unionByName(contextual(docs, key, text))
     return dedupe_spans(refine(found, docs, key, text), key)
+
+
+def face_detections(boxes: DataFrame) -> DataFrame:
+    """One detection a page from merged face boxes (doc_id, page_number, x0, y0, x1, y1)."""
+    gathered = boxes.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("page_number", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    return gathered.select(
+        "doc_id", F.col("page_number").cast("long").alias("seq"), F.lit("[FACE - REDACTED]").alias("entity_text"), F.lit("FACE").alias("entity_type"), F.lit(0.99).alias("confidence_score"),
+        F.lit("Vision").alias("source"), "boxes", F.array(F.lit("Vision")).alias("supporting_sources"), F.lit(None).cast("string").alias("decision_reason"),
+    )

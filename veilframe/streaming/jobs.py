@@ -74,3 +74,21 @@ def distinct_events(events: DataFrame, ts: str = "ts", keys: tuple[str, ...] = (
 def windowed_counts(events: DataFrame, width: str = "10 minutes", by: str = "event_type", ts: str = "ts", delay: str = "30 minutes") -> DataFrame:
     """Events by tumbling window and kind; windows close when the watermark passes them."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+
+
+def newest(logs: DataFrame, n: int = 120, ts: str = "ts") -> DataFrame:
+    """The last ``n`` log rows, newest first."""
+    return logs.orderBy(F.desc(ts), *(F.desc(c) for c in logs.columns if c != ts)).limit(n)
+
+
+def observed(df: DataFrame, stage: str):
+    """``df`` that counts its rows as it runs, and the observation to read the count from."""
+    from pyspark.sql import Observation
+
+    seen = Observation(stage)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def stage_seconds(timings: DataFrame) -> DataFrame:
+    """Seconds by stage over events (job_id, stage, seconds)."""
+    return timings.groupBy("job_id", "stage").agg(F.sum("seconds").alias("seconds"))
