@@ -37,6 +37,25 @@ def match_spans(df: DataFrame, keys: list[str], pattern: str, text: str = "text"
     return rows.withColumn("end", end).where("length(match) > 0").select(*keys, (F.col("end") - F.length("match")).alias("start"), "end", "match")
 
 
+def match_many(df: DataFrame, keys: list[str], patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """``match_spans`` of several patterns in one scan, with ``kind``, the pattern's name.
+
+    A text is cut up only by the patterns that it holds at all.
+    """
+
+    def pieces(pattern: str) -> Column:
+        whole = F.lit(rf"(?s)(.*?)({pattern}|\z)")
+        both = F.arrays_zip(F.regexp_extract_all(col(text), whole, F.lit(1)).alias("gap"), F.regexp_extract_all(col(text), whole, F.lit(2)).alias("match"))
+        return F.when(col(text).rlike(pattern), both)
+
+    found = F.array(*(F.struct(F.lit(n).alias("kind"), pieces(p).alias("pieces")) for n, p in patterns.items()))
+    rows = df.select(*keys, F.explode(found).alias("_f")).where("_f.pieces is not null").select(*keys, "_f.kind", F.posexplode("_f.pieces").alias("_pos", "_p"))
+    rows = rows.select(*keys, "kind", "_pos", F.length("_p.gap").alias("_gap"), F.col("_p.match").alias("match"))
+    order = Window.partitionBy(*keys, "kind").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("_gap") + F.length("match")).over(order)).where("length(match) > 0")
+    return rows.select(*keys, "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match")
+
+
 def alnum_count(c) -> Column:
     return F.length(F.regexp_replace(col(c), r"[^\p{L}\p{N}]", ""))
 

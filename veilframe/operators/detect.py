@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.labels import promote, reclassify
-from ..functions.text import match_spans
+from ..functions.text import match_many, match_spans
 
 
 @dataclass(frozen=True)
@@ -61,12 +61,15 @@ def _valid(kind: str | None, c: Column) -> Column:
 
 
 def recognize(docs: DataFrame, types: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start, end, entity_type, score, match of every recognizer's valid matches."""
-    found = []
-    for r in (RECOGNIZERS[t] for t in types or RECOGNIZERS):
-        spans = match_spans(docs, [key], r.pattern, text)
-        found.append(spans.where(_valid(r.check, F.col("match"))).select(key, "start", "end", F.lit(r.entity_type).alias("entity_type"), F.lit(r.score).alias("score"), "match"))
-    return reduce(DataFrame.unionByName, found)
+    """key, start, end, entity_type, score, match of every recognizer's valid matches, in one scan."""
+    used = [RECOGNIZERS[t] for t in types or RECOGNIZERS]
+    spans = match_many(docs, [key], {r.entity_type: r.pattern for r in used}, text)
+    valid, score = F.lit(True), F.lit(None).cast("double")
+    for r in used:
+        score = F.when(F.col("kind") == r.entity_type, F.lit(r.score)).otherwise(score)
+        if r.check:
+            valid = F.when(F.col("kind") == r.entity_type, _valid(r.check, F.col("match"))).otherwise(valid)
+    return spans.where(valid).select(key, "start", "end", F.col("kind").alias("entity_type"), score.alias("score"), "match")
 
 
 def contextual(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

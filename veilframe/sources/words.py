@@ -19,12 +19,11 @@ def word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     ``line_key`` numbers lines of 16 words. Offsets are half-open, in code points. Only
     words and gap lengths are shuffled.
     """
-    # Split after white space: each piece is a word with the white space before it removed.
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"(?s)(\s*)(\S+|\z)"), F.lit(1)), F.regexp_extract_all(F.col(text), F.lit(r"(?s)(\s*)(\S+|\z)"), F.lit(2))
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.arrays_zip(parts[0].alias("gap"), parts[1].alias("word"))).alias("word_index", "p"))
-    rows = rows.select(key, "word_index", F.length("p.gap").alias("gap"), F.col("p.word").alias("word"))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"\s*\S+"), F.lit(0))
+    rows = docs.select(key, F.posexplode(pieces).alias("word_index", "piece"))
+    rows = rows.select(key, "word_index", F.length("piece").alias("_n"), F.ltrim("piece", F.lit(" \t\n\x0b\f\r")).alias("word"))
     upto = Window.partitionBy(key).orderBy("word_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(upto)).where("word != ''")
+    rows = rows.withColumn("end", F.sum("_n").over(upto))
     start = F.col("end") - F.length("word")
     return rows.select(
         key, "word_index", start.alias("start"), "end", "word",
