@@ -18,17 +18,29 @@ LEAST_SCORE = 0.3
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """Each document's other columns as one beside its id and text: what an operator adds cannot clash with them."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("document"), "doc_id", "text")
+
+
+def _unpacked(docs: DataFrame, like: DataFrame, **changed) -> DataFrame:
+    """The columns of ``like`` again."""
+    return docs.select(*(changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col("document")[c].alias(c) for c in like.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from the labelled ones; without letters they go."""
     model = langid.fit(docs, crc_fold(F.col("doc_id"), 4) != 2)
-    found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(docs.columns)
+    found = langid.identify(_carried(docs), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _unpacked(found, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that repeat earlier ones; texts left empty go."""
-    out = linededup.dedup_lines(docs).where("n_removed = 0 or trim(text) != ''")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    out = linededup.dedup_lines(_carried(docs)).where("n_removed = 0 or trim(text) != ''")
+    if "n_chars" not in docs.columns:
+        return _unpacked(out, docs)
+    return _unpacked(out, docs, n_chars=F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
+    return _unpacked(decontam.decontaminate(_carried(docs), table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,15 @@ def test_line_dedup_drops_emptied_texts(spark, sf_dir):
     rows = [(1, base), (2, base), (3, base + "\nown line"), (4, ""), (5, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in P.line_dedup(spark, frame(spark, [(k, t, None, None, 7) for k, t in rows]), sf_dir).collect()}
     assert got == {1: (base, 7), 3: ("own line", 8), 4: ("", 7), 5: (None, 7)}
+
+
+def test_clashing_columns_and_empty_tables(spark, sf_dir):
+    """Columns named like those the stages use survive every stage; empty tables pass."""
+    names = ["score", "lang_pred", "n_lines", "n_removed", "runs", "th", "h", "kept", "_id", "coverage", "contaminated", "item_ids", "row", "_row", "set_key", "document", "doc", "id"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").selectExpr("*", *(f"'own {n}' as {n}" for n in names))
+    for now in (docs, docs.where("doc_id < 0")):
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, now, sf_dir)
+            assert out.columns == docs.columns
+            assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+        P.STAGES[-1][1](spark, now, sf_dir).collect()
