@@ -69,4 +69,8 @@ _ALL = (
     op10_quality_rules,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op4_line_dedup": linededup.ORACLE}
+ORACLE_SQL = {
+    "op2_near_duplicates": neardup.oracle(3, 85),
+    "op4_line_dedup": linededup.ORACLE,
+    "op8_suffix_dedup": suffixdedup.ORACLE,
+}

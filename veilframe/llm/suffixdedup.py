@@ -428,3 +428,29 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
         "doc_id", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<lo:long,hi:long>>")).alias("spans"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )
+
+
+#: The same digest in DuckDB, byte by byte in hexadecimal; doc_id is unique there.
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, q, substring(h, 2 * q + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS q FROM d WHERE length(h) // 2 >= {LENGTH})
+), later AS (
+  SELECT doc_id, q FROM (SELECT doc_id, q, row_number() OVER (PARTITION BY s ORDER BY doc_id, q) AS place FROM starts) WHERE place > 1
+), islands AS (
+  SELECT doc_id, q, sum(fresh) OVER (PARTITION BY doc_id ORDER BY q) AS island FROM (
+    SELECT doc_id, q, CASE WHEN q <= lag(q) OVER (PARTITION BY doc_id ORDER BY q) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM later)
+), spans AS (
+  SELECT doc_id, min(q) AS lo, max(q) + {LENGTH} AS hi FROM islands GROUP BY doc_id, island
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * from_byte + 1, 2 * (lo - from_byte)), '' ORDER BY from_byte) AS k FROM (
+    SELECT d.doc_id, d.h, s.lo, coalesce(lag(s.hi) OVER (PARTITION BY d.doc_id ORDER BY s.lo), 0) AS from_byte
+    FROM d JOIN (SELECT doc_id, lo, hi FROM spans UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d) s USING (doc_id))
+  GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
