@@ -285,3 +285,15 @@ def test_extraction_of_all_pages(spark, sf_dir):
         import html as entities
 
         assert r.text.split() == entities.unescape(words).split()
+
+
+def test_names_that_only_sound_like_noise():
+    for page in (
+        f'<body class="has-sidebar"><div class="layout with-nav has-ads">{ARTICLE}</div>',
+        f'<div class="sidebar-layout"><nav>x y</nav>{ARTICLE}<div class="sidebar">side</div></div>',
+        f'{ARTICLE}<div class="comments"><article><p>A reader says many words here</p></article></div>',
+        f'{ARTICLE}<article class="related"><p>Another story that is told elsewhere</p></article>',
+        ARTICLE.replace("<h1>", '<h1 class="page-header">'),
+        ARTICLE.replace("<h1>", "<header><h1>").replace("</h1>", "</h1></header>"),
+    ):
+        assert html.main_text(page, {}) == MAIN, page

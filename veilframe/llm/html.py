@@ -24,6 +24,7 @@ SAMPLE_ROWS = 2000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|[\"'][^>]*(?:>|\Z)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 _SPACE = re.compile(r"\s+")
+_AROUND = re.compile(r"(?:has|with|no|without|is)[-_]", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,10 +37,14 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 NOISE = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar header ad ads advert adverts advertisement advertising sponsor sponsored "
     "promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "recommendations comment comments reply replies respond disqus discussion widget toolbar pagination pager search tags contentinfo complementary copyright legal disclaimer byline".split()
+    "recommendations comment comments reply replies respond responses disqus discussion widget rail toolbar pagination pager search dialog contentinfo complementary copyright legal disclaimer".split()
 )
 #: Of these, in an article or main element's own class.
 STRONG_NOISE = set("ad advert advertisement sponsored promo related recommended comment comments reply replies".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: A heading called a header is a title.
+HEADING_NOISE = NOISE - {"header", "banner"}
+_ROLE = re.compile(r"role\s*=\s*[\"']?(?:main|article)\b", re.I)
 #: Start tags that end open elements (the first set) up to the nearest of the second.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _BLOCK_ENDS_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -61,6 +66,7 @@ def _implied_end(stack: list, name: str) -> int:
 
 
 def _noise(attributes: str, words: set = NOISE) -> bool:
+    """Whether attributes tell of noise; class names like has-sidebar tell of what is around the element."""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden":
@@ -69,7 +75,7 @@ def _noise(attributes: str, words: set = NOISE) -> bool:
             v = value.replace(" ", "").lower()
             if v == "true" or "display:none" in v or "visibility:hidden" in v:
                 return True
-        elif words.intersection(x.lower() for x in _PARTS.findall(value)):
+        elif any(words.intersection(x.lower() for x in _PARTS.findall(v)) for v in value.split() if not _AROUND.match(v)):
             return True
     return False
 
@@ -79,61 +85,64 @@ def tokens(page: str | None):
 
     Text keeps its white space, with character references decoded. ``inside`` tells
     whether the token is in an article or main element. Dropped elements give one token
-    of their tag.
+    of their tag. An article within an element whose name only sounds like noise is an
+    article all the same; one among comments or adverts is not.
     """
     page = page or ""
-    out, stack, dropped, inside, links = [], [], 0, 0, 0
+    out, stack = [], []
+    # Depth in what is dropped for good, in what a name only makes suspect, in articles, in links.
+    dropped = suspect = inside = links = 0
     names: Counter = Counter()
     at, end = 0, len(page)
+
+    def put(kind, text=""):
+        if not dropped and not suspect:
+            out.append((kind, text, inside > 0))
+
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not dropped:
-            out.append(("w:a" if links else "w", html.unescape(page[at:stop]), inside > 0))
+        if stop > at:
+            put("w:a" if links else "w", html.unescape(page[at:stop]))
         if not m:
             break
         at = m.end()
-        name = m.group(2)
-        if not name:
-            if m.group().startswith("<![CDATA[") and not dropped:
-                out.append(("w", m.group()[9:].removesuffix("]]>"), inside > 0))
+        if not m.group(2):
+            if m.group().startswith("<![CDATA["):
+                put("w", m.group()[9:].removesuffix("]]>"))
+            continue
+        name, attributes = m.group(2).lower(), m.group(3) or ""
+        if m.group(1):
+            depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name) if names[name] else len(stack)
+            closed = depth < len(stack)
+        elif name in RAW:
+            close = re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else end
+            continue
+        elif name in VOID:
+            put(name)
             continue
-        name, closing, attributes = name.lower(), m.group(1) == "/", m.group(3) or ""
-        if not closing:
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
-                continue
-            if name in VOID:
-                if not dropped:
-                    out.append((name, "", inside > 0))
-                continue
-            pops = _implied_end(stack, name)
-            while len(stack) > pops:
-                last, was_dropped, was_inside, was_link = stack.pop()
-                names[last] -= 1
-                dropped, inside, links = dropped - was_dropped, inside - was_inside, links - was_link
-            is_dropped = name in DROPPED or (name == "header" and not inside) or (name not in ("html", "body") and bool(attributes) and _noise(attributes, STRONG_NOISE if name in ("article", "main") else NOISE))
-            is_inside = not dropped and not is_dropped and (name in ("article", "main") or re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes) is not None)
-            is_link = name == "a"
-            if not dropped:
-                out.append((name, "", inside > 0))
-            if attributes.endswith("/") and name == "svg":
-                continue
-            names[name] += 1
-            stack.append((name, is_dropped, is_inside, is_link))
-            dropped, inside, links = dropped + is_dropped, inside + is_inside, links + is_link
         else:
-            if not names[name]:
-                continue
-            while stack:
-                last, was_dropped, was_inside, was_link = stack.pop()
-                names[last] -= 1
-                dropped, inside, links = dropped - was_dropped, inside - was_inside, links - was_link
-                if last == name:
-                    break
-            if not dropped:
-                out.append(("/" + name, "", inside > 0))
+            depth, closed = _implied_end(stack, name), False
+        while len(stack) > depth:
+            last, was_dropped, suspect, was_inside, was_link = stack.pop()
+            names[last] -= 1
+            dropped, inside, links = dropped - was_dropped, inside - was_inside, links - was_link
+        if m.group(1):
+            if closed:
+                put("/" + name)
+            continue
+        article = name in ("article", "main")
+        drop = name in DROPPED or (name == "header" and not inside) or (attributes != "" and name not in ("html", "body") and _noise(attributes, STRONG_NOISE))
+        doubt = not drop and not article and name not in ("html", "body") and attributes != "" and _noise(attributes, HEADING_NOISE if name in HEADINGS else NOISE)
+        marks = not drop and not doubt and not dropped and (article or _ROLE.search(attributes) is not None)
+        now = 0 if marks else suspect + doubt
+        put(name)
+        if name == "svg" and attributes.endswith("/"):
+            continue
+        names[name] += 1
+        stack.append((name, drop, suspect, marks, name == "a"))
+        dropped, suspect, inside, links = dropped + drop, now, inside + marks, links + (name == "a")
     return out
 
 
