@@ -87,4 +87,4 @@ def test_plan_fills_sequences_without_gaps(histogram):
 def test_word_cache_gives_the_tokenizers_ids():
     encode, t = WordEncoder(PATH, cache_words=50), direct()
     for text in ["I'm don't <|endoftext|> é \x1cab\x85c 'S 日本 １２", "", " \n", "ΣΣ İ Á", *(prose(k, 90) for k in range(9))]:
-        assert list(np.frombuffer(encode([text])[0], encode.dtype)) == t.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(encode([text.encode()])[0], encode.dtype)) == t.encode(text, add_special_tokens=False).ids

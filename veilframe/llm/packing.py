@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -28,7 +29,8 @@ from .common import per_worker, staged
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words with known ids in a generation; a Python worker keeps the current one and the one before.
+#: Words met in several batches whose ids a Python worker keeps before it starts afresh; half as many met once, and
+#: as many parts of words.
 CACHE_WORDS = 600_000
 #: Texts that are encoded at once.
 TEXTS = 500
@@ -38,8 +40,12 @@ MIN_FILL = 8
 RANK_GROUP_ROWS = 20_000
 
 
+#: Latin letters whose lower case and composed form are beyond doubt, then signs that no letter joins.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()\[\]{}<>+=/-]*)")
+
+
 class WordEncoder:
-    """Token ids of whole texts, through a bounded cache of words.
+    """Token ids of whole texts, through bounded caches of words; rare words cannot crowd out common ones.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
     its words in a row.
@@ -54,26 +60,83 @@ class WordEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {b"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache_words = cache_words
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed as ``dtype``."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        words = set().union(*split)
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        new = words.difference(cache)
-        cache.update((w, older[w]) for w in new.intersection(older))
-        new = list(new.difference(older))
-        kind = "I" if self.wide else "H"
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                cache[w] = array(kind, e.ids).tobytes()
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text, packed as ``dtype``."""
+        split = [t.split() for t in texts]
+        cache, once = self.cache, self.once
+        found = [list(map(cache.get, words)) for words in split]
+        gaps = [[k for k, x in enumerate(row) if x is None] for row in found]
+        missing = {words[k] for words, row in zip(split, gaps) for k in row}
+        again = missing.intersection(once)
+        ids = {w: once.pop(w) for w in again}
+        if len(cache) + len(ids) > self.cache_words:
+            cache.clear()
+        cache.update(ids)
+        new = self._new(missing.difference(again))
+        if len(once) + len(new) > self.cache_words // 2:
+            once.clear()
+        once.update(new)
+        ids.update(new)
+        for words, row, gap in zip(split, found, gaps):
+            for k in gap:
+                row[k] = ids[words[k]]
+        return list(map(b"".join, found))
+
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words. Most are letters with signs after them: two known parts, in any case."""
+        ids, stems = {}, self.stems
+        if len(stems) > self.cache_words:
+            stems.clear()
+        later, odd, known = [], [], stems.get
+        for w in words:
+            stem = w.rstrip(b".,")
+            if stem.isalpha():
+                sign, stem = w[len(stem) :], stem.lower()
+            elif m := _PLAIN.fullmatch(w.decode("utf-8", "replace")):
+                stem, sign = m.group(1).lower().encode(), m.group(2).encode()
+            else:
+                odd.append(w)
+                continue
+            x = known(stem)
+            if x is None:
+                later.append((w, stem, sign))
+            else:
+                ids[w] = x + self._sign(sign) if sign else x
+        fresh = list({x for _, x, _ in later}.difference(stems))
+        for k in range(0, len(fresh), 2048):
+            stems.update(zip(fresh[k : k + 2048], self._stems(fresh[k : k + 2048])))
+        ids.update((w, stems[x] + self._sign(y)) for w, x, y in later)
+        ids.update(zip(odd, self._each(odd)))
+        return ids
+
+    def _sign(self, sign: bytes) -> bytes:
+        if sign not in self.signs:
+            self.signs[sign] = self._each([sign])[0]
+        return self.signs[sign]
+
+    def _stems(self, stems: list[bytes]) -> list[bytes]:
+        """The ids of words of lower-case letters only, which are tokenized as one text and cut at the word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(stems):
+            return self._each(stems)
+        raw, cut = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        kind, out = "I" if self.wide else "H", []
+        for k in range(0, len(words), 4096):
+            part = [w.decode("utf-8", "replace") for w in words[k : k + 4096]]
+            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -97,7 +160,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
         end = np.array([END_ID], encode.dtype).tobytes()
         for batch in batches:
             rows = defaultdict(list)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for raw in (x for k in range(0, len(texts), TEXTS) for x in encode(texts[k : k + TEXTS])):
                 ids = np.frombuffer(raw + end, encode.dtype)
                 cut = len(ids) // sequence * sequence
