@@ -55,6 +55,7 @@ STATE_NAMES = [
 STATE_CODES = (
     "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
 ).split()
+# Fixed patterns: words of company names, and phrases before identifiers and codes.
 BUSINESS = r"(?i)\b(?:inc|llc|corp|corporation|co|company|ltd|plc|bioventures|ventures)\b"
 IDENTIFIER_CONTEXT = r"(?i)\b(?:customer|client|member|user|policy|account|receipt|transaction|order)\s*(?:identifier|id|number|no\.?|#)"
 CODE_CONTEXT = r"(?i)\b(?:pin|otp|one[-\s]*time\s*(?:password|pin)|passcode|security\s*code|verification\s*code)\b"
