@@ -34,11 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def per_worker(key: tuple, make):
-    """``make()`` once per Python worker process, whichever tasks it runs; caches live there."""
-    store = sys.modules.setdefault("_veilframe_per_worker", types.ModuleType("_veilframe_per_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """``make()`` once per Python worker process, whichever tasks it runs; caches live there.
+
+    A worker holds one such value: asking for another drops it, so that operators that
+    run one after the other do not add up.
+    """
+    store = sys.modules.setdefault("_veilframe_per_worker", types.ModuleType("_veilframe_per_worker"))
+    if getattr(store, "key", None) != key:
+        store.key = store.value = None
+        store.key, store.value = key, make()
+    return store.value
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
