@@ -218,7 +218,11 @@ def fit(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
 
     Only counts by kind, as many as there are tag names, reach the driver.
     """
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("html").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample_rows)
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    # The keys are chosen first: no page is sorted or moved but those of the sample.
+    key = F.xxhash64("page_id", "url")
+    keys = marked.select(key.alias("k")).distinct().orderBy("k").limit(sample_rows)
+    labelled = marked.select(key.alias("k"), "html").join(F.broadcast(keys), "k").dropDuplicates(["k"]).select("html")
 
     def run(batches):
         sums = (Counter(), Counter())
@@ -229,7 +233,7 @@ def fit(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
         rows = [(k, bool(o), n) for o in (0, 1) for k, n in sums[o].items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "outside", "n"])
 
-    got = labelled.repartition(8).mapInArrow(run, "kind string, outside boolean, n long").groupBy("kind", "outside").agg(F.sum("n").alias("n")).collect()
+    got = labelled.mapInArrow(run, "kind string, outside boolean, n long").groupBy("kind", "outside").agg(F.sum("n").alias("n")).collect()
     return fit_weights({r["kind"]: r["n"] for r in got if not r["outside"]}, {r["kind"]: r["n"] for r in got if r["outside"]})
 
 
