@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 _LOCAL_DIR: dict[str, str] = {}
 
+#: Setting that lets shuffle files go when the query that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words everywhere in this subpackage: maximal runs without space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -49,12 +52,21 @@ def per_worker(key: tuple, make):
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and return a scan of it.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation. The files go
-    when the driver's JVM ends.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation. The write's
+    shuffle files, which nothing reads again, go at its end instead of filling the
+    executors' disks; the written files go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
