@@ -1,5 +1,6 @@
 """Exact repeated substrings by a distributed merge sort of suffixes.
 
+0.  Of equal texts only the first takes part; the others repeat it throughout.
 1.  Each text is cut into anchors: of the n-grams of every ``length``-byte string the one
     with the least hash, so that equal strings have equal anchors. Only anchors whose
     n-gram occurs twice in the corpus go on: the others' strings are unique.
@@ -36,7 +37,7 @@ GRAM = 24
 #: Occurrences of an n-gram beyond which its strings are spread by hash.
 HOT = 50_000
 #: Suffixes in a run; anchors that a merging task gets on average.
-RUN, MERGE_ROWS = 200_000, 200_000
+RUN, MERGE_ROWS = 100_000, 100_000
 #: Window starts taken at once from a long text; fewer than 2^24.
 SEGMENT = 1 << 22
 
@@ -267,8 +268,10 @@ def repeats(lcps: np.ndarray, before: list[bytes], ints: np.ndarray, length: int
     return list(zip(ints[1][w].tolist(), (place[w] - where[stop]).tolist(), (place[w] - where[start]).tolist()))
 
 
-def _row_key(docs: DataFrame):
-    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+def _keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row (key of both), same (key of the text) and order (doc_id, null before all)."""
+    text, order = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select("doc_id", "text", F.xxhash64(order, text).alias("row"), F.xxhash64(text).alias("same"), order.alias("order"))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -276,22 +279,28 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _grams(docs: DataFrame, length: int) -> DataFrame:
-    """row, n-gram hash and how often it is an anchor in the row; doc length and hash apart."""
+    """same and h for each n-gram that is an anchor in a text; an n-gram that is one twice also under another ``same``.
+
+    Copies that a task has met already yield nothing again.
+    """
 
     def run(batches):
+        met = set()
         for batch in batches:
-            rows, hashes, counts = [], [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            keys, hashes = [], []
+            for same, text in zip(batch.column("same").to_pylist(), batch.column("text").to_pylist()):
+                if same in met:
+                    continue
+                met.add(same)
                 h = anchors(np.frombuffer(_bytes(text), np.uint8), length)[0]
                 if len(h):
                     h, n = np.unique(h, return_counts=True)
-                    rows.append(np.full(len(h), row))
-                    hashes.append(h)
-                    counts.append(n)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, hashes, counts)], names=["row", "h", "n"])
+                    keys += [np.full(len(h), same), np.full(int((n > 1).sum()), ~same)]
+                    hashes += [h, h[n > 1]]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, hashes)], names=["same", "h"])
 
-    return docs.select(_row_key(docs).alias("row"), "text").mapInArrow(run, "row long, h long, n long")
+    return docs.select("same", "text").mapInArrow(run, "same long, h long")
 
 
 def _sorted_runs(rows: DataFrame, length: int, tasks: int) -> DataFrame:
@@ -327,15 +336,14 @@ def _sorted_runs(rows: DataFrame, length: int, tasks: int) -> DataFrame:
             for row, doc_id, text, grams, hot in zip(*columns):
                 raw = _bytes(text)
                 h, place, first, last = anchors(np.frombuffer(raw, np.uint8), length)
-                order = -(1 << 63) if doc_id is None else doc_id
                 put(_TEXT, row, data=zstd.compress(raw))
                 for k in np.flatnonzero(np.isin(h, np.array(grams, np.int64))).tolist():
-                    runs.setdefault(int(h[k]) % tasks, Run()).add(raw, order, row, int(place[k]), int(first[k]), int(last[k]), length)
+                    runs.setdefault(int(h[k]) % tasks, Run()).add(raw, doc_id, row, int(place[k]), int(first[k]), int(last[k]), length)
                     held += 1
                 for k in np.flatnonzero(np.isin(h, np.array(hot or [], np.int64))).tolist():
                     for q in range(int(first[k]), int(last[k]) + 1):
                         a, b = struct.unpack("<qq", hashlib.blake2b(raw[q : q + length], digest_size=16).digest())
-                        put(_ROW, a, b, order, row, q)
+                        put(_ROW, a, b, doc_id, row, q)
                 if held >= RUN:
                     flush()
                     held = 0
@@ -383,15 +391,17 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     share a doc_id only, a hash of the text tells which is earlier. Other columns are
     ignored; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", "text").withColumn("row", _row_key(docs))
-    grams = staged(_grams(docs, length), "grams")
-    twice = staged(grams.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "twice")
-    wanted = grams.join(twice.select("h", (F.col("n") > hot).alias("is_hot")), "h").groupBy("row")
+    keyed = _keys(docs)
+    # Of texts that are the same only the first takes part; all of the others repeats it.
+    firsts = staged(keyed.groupBy("same").agg(F.min(F.struct("order", "row")).alias("first")).select("same", "first.*"), "firsts")
+    grams = staged(_grams(keyed, length), "grams")
+    twice = staged(grams.groupBy("h").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("h", "n"), "twice")
+    wanted = grams.join(twice.select("h", (F.col("n") > hot).alias("is_hot")), "h").groupBy("same")
     wanted = wanted.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("h"))).alias("grams"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
+    wanted = wanted.join(firsts, "same").select("row", F.col("order").alias("doc_id"), "grams", "hot")
     total = twice.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, total // MERGE_ROWS)
-    mine = keyed.join(wanted, "row").dropDuplicates(["row"])
-    mine = mine.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text", "grams", "hot")
+    mine = keyed.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
     parts = staged(_sorted_runs(mine, length, tasks), "runs")
 
     found = parts.where(F.col("kind") == _DUP).select(F.col("k1").alias("row"), F.col("n1").alias("lo"), F.col("n2").alias("hi"))
@@ -422,12 +432,18 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
 
     cuts = staged(texts.mapInArrow(cut, "row long, spans array<struct<lo:long,hi:long>>, n_removed long, kept_sha256 string"), "cuts")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    whole = keyed.select("doc_id", "row", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
-    out = whole.join(cuts, "row", "left")
-    return out.select(
-        "doc_id", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<lo:long,hi:long>>")).alias("spans"),
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-    )
+    whole = keyed.select("doc_id", "row", "same", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
+    whole = whole.join(firsts.select("same", F.col("row").alias("first_row")), "same").join(cuts, "row", "left")
+    copy = (F.col("row") != F.col("first_row")) & (F.col("n_bytes") >= length)
+    none = F.array().cast("array<struct<lo:long,hi:long>>")
+    return whole.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+    )
 
 
 #: The same digest in DuckDB, byte by byte in hexadecimal; doc_id is unique there.
