@@ -37,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that repeat earlier ones; texts left empty go."""
-    out = linededup.dedup_lines(_carried(docs)).where("n_removed = 0 or trim(text) != ''")
+    out = linededup.dedup_lines(_carried(docs), both_ways=True).where("n_removed = 0 or trim(text) != ''")
     if "n_chars" not in docs.columns:
         return _unpacked(out, docs)
     return _unpacked(out, docs, n_chars=F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars")))

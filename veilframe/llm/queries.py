@@ -29,6 +29,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_line_dedup_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole maximal repeated runs; the oracle SQL of op4_line_dedup tells windows forward only."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), both_ways=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.fit(pages))
@@ -61,6 +66,7 @@ _ALL = (
     op2_near_duplicates,
     op3_language_id,
     op4_line_dedup,
+    op4_line_dedup_maximal,
     op5_html_extraction,
     op6_token_counts,
     op7_packing,
