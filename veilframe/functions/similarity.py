@@ -36,10 +36,12 @@ def token_set_ratio(a: str, b: str) -> float:
     if not x or not y:
         return 0.0
     common = " ".join(sorted(x & y))
-    if common and (x <= y or y <= x):
+    if not common:
+        return ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+    if x <= y or y <= x:
         return 100.0
     first, second = ((common + " " + " ".join(sorted(s - (x & y)))).strip() for s in (x, y))
-    return max(ratio(first, second), ratio(common, first) if common else 0.0, ratio(common, second) if common else 0.0)
+    return max(ratio(first, second), ratio(common, first), ratio(common, second))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -56,13 +58,24 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-def best_ratio(a: str, b: str) -> float:
-    return max(ratio(a, b), token_sort_ratio(a, b), token_set_ratio(a, b), partial_ratio(a, b))
+def best_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best of the ratios; one below ``least`` may come out lower.
 
+    No part of the longer string has a longer common subsequence with the shorter one
+    than the whole has. That bounds the partial ratio, which is costly.
+    """
+    common, shorter = lcs(a, b), min(len(a), len(b))
+    best = max(200.0 * common / (len(a) + len(b)) if a or b else 100.0, token_sort_ratio(a, b), token_set_ratio(a, b))
+    bound = 200.0 * common / (shorter + common) if shorter else 100.0
+    return best if bound <= best or bound < least else max(best, partial_ratio(a, b))
 
-def window_similarity(quote: str, window: str, penalty: float = 2.0, cap: float = 14.0) -> float:
-    """Similarity of a normalized quote and window: longer windows lose, containment within two tokens counts 96."""
-    score = best_ratio(quote, window)
+
+def window_similarity(quote: str, window: str, penalty: float = 2.0, cap: float = 14.0, least: float = 0.0) -> float:
+    """Similarity of a normalized quote and window: longer windows lose, containment within two tokens counts 96.
+
+    One below ``least`` may come out lower.
+    """
+    score = best_ratio(quote, window, least)
     extra = max(0, len(window.split()) - len(quote.split()))
     if extra:
         score -= min(cap, extra * penalty)

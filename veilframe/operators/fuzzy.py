@@ -50,7 +50,7 @@ def find_quote(quote: str, sizes: range, words: list[tuple[str, int, int]], thre
             if not text:
                 continue
             if text not in seen:
-                seen[text] = window_similarity(quote, text, config.fuzzy_penalty, config.fuzzy_penalty_cap)
+                seen[text] = window_similarity(quote, text, config.fuzzy_penalty, config.fuzzy_penalty_cap, min(threshold, relaxed))
             fit = 0 if compat else (text != quote, abs(len(text.split()) - length), -size)
             found.append((seen[text], fit, words[i][1], words[i + size - 1][2]))
     chosen = non_overlapping(found, threshold)

@@ -368,10 +368,11 @@ def contextual_spans(spark, sf_dir):
 
 @query()
 def fuzzy_localization(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations")
-    docs = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("text"))
-    w = sanitize.placed_words(docs).withColumn("page_number", F.lit(0))
-    quotes = docs.select("doc_id", F.lit(0).alias("page_number"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("quote"), F.lit("PERSON").alias("category"), F.lit(0.9).alias("confidence"))
+    """Quotes from every turn of the conversations, each turn a page."""
+    pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), "text")
+    w = words.word_spans(pages.select(F.struct("doc_id", "page_number").alias("page"), "text"), "page")
+    w = w.select("page.*", "word_index", F.col("word").alias("text"), F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    quotes = pages.select("doc_id", "page_number", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("quote"), F.lit("PERSON").alias("category"), F.lit(0.9).alias("confidence"))
     return fuzzy.localize_quotes(quotes, w)
 
 
