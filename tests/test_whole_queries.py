@@ -65,3 +65,48 @@ def test_fuzzy_localization_takes_every_turn(spark, folder):
     got = QUERIES["fuzzy_localization"](spark, folder("conversations", rows, CONVERSATIONS)).collect()
     assert {(g.doc_id, g.page_number, g.quote, g.start, g.end, g.similarity) for g in got} == want
     assert len(got) == len(want) and {(g.doc_id, g.page_number) for g in got} >= {(c, t) for c in range(3) for t in range(4)}
+
+
+#: Texts and what is to be found in them.
+SENSITIVE = [
+    ("Write to ann@mail.example.org or see https://a.example.com/x?y=1 today", [("ann@mail.example.org", "EMAIL_ADDRESS"), ("https://a.example.com/x?y=1", "URL")]),
+    ("pay to GB82 WEST 1234 5698 7654 32 not GB83 WEST 1234 5698 7654 32", [("GB82 WEST 1234 5698 7654 32", "IBAN_CODE")]),
+    ("ssn 123-45-6789, born 1980-02-03", [("123-45-6789", "US_SSN"), ("1980-02-03", "DATE_TIME")]),
+    ("my customer number is AB-778812 and the passcode: 4711", [("AB-778812", "CUSTOMER_IDENTIFIER"), ("4711", "SECURITY_CODE")]),
+    ("host 10.1.2.3 card 4111 1111 1111 1111 not 4111 1111 1111 1112", [("10.1.2.3", "IP_ADDRESS"), ("4111 1111 1111 1111", "CREDIT_CARD")]),
+    ('call +1 (555) 123-4567, password="hunter22x"', [("+1 (555) 123-4567", "PHONE_NUMBER"), ('password="hunter22x"', "PASSWORD")]),
+    ("nothing here", []),
+]
+
+
+@pytest.fixture
+def sensitive(folder):
+    return folder("documents", list(enumerate(t for t, _ in SENSITIVE)), "doc_id long, text string")
+
+
+def test_all_detectors_mask_and_locate(spark, sensitive):
+    def run(name):
+        return QUERIES[name](spark, sensitive).collect()
+
+    spans, masked, hits = set(), {}, set()
+    for k, (t, found) in enumerate(SENSITIVE):
+        masked[k] = t
+        for match, kind in found:
+            start, at = t.index(match), 0
+            spans.add((k, start, start + len(match), kind))
+            masked[k] = masked[k].replace(match, "\u2588", 1)
+            for w in t.split():
+                at = t.index(w, at)
+                if at < start + len(match) and at + len(w) > start:
+                    hits.add((k, start, kind, w))
+                at += len(w)
+    assert {(r.doc_id, r.start, r.end) for r in run("segment_merge")} == {s[:3] for s in spans}
+    assert {r.doc_id: r.masked_text for r in run("masked_text")} == masked
+    assert {(r.doc_id, r.start, r.entity_type, r.word) for r in run("span_word_localization")} == hits
+    assert {(r.doc_id, r.start, r.end, r.entity_type) for r in run("span_dedup")} == spans
+    kinds = {s[3] for s in spans}
+    assert len(kinds) == 11
+    assert {(r.entity_type, r.n) for r in run("risk_tier_counts")} == {(k, 1) for k in kinds}
+    assert {(r.entity_type, r.entities, r.documents) for r in run("entity_counts")} == {(k, 1, 1) for k in kinds}
+    assert {r.doc_id for r in run("resolve_by_box")} == {r.doc_id for r in run("entity_merge")} == set(range(6))
+    assert {r.entity_text for r in run("entity_merge")} == {m for _, found in SENSITIVE for m, _ in found}

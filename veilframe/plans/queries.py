@@ -84,7 +84,8 @@ def _docs(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    return detect.recognize(_docs(spark, sf_dir), sanitize.TYPES)
+    """Spans of all detectors. The SQL tells those of ``sanitize.TYPES``, the only ones that the given tables hold."""
+    return detect.detect(_docs(spark, sf_dir))
 
 
 @query(WORDS)
@@ -184,7 +185,7 @@ def segment_merge(spark, sf_dir):
   j AS (SELECT p.doc_id, string_agg(substring(d.text, before + 1, start - before) || '█', '' ORDER BY start) AS head, max("end") AS last FROM p JOIN documents d USING (doc_id) GROUP BY p.doc_id)
   SELECT d.doc_id, CASE WHEN j.doc_id IS NULL THEN d.text ELSE head || substring(d.text, last + 1) END AS masked_text FROM documents d LEFT JOIN j USING (doc_id)""")
 def masked_text(spark, sf_dir):
-    return segments.mask_text(_docs(spark, sf_dir), _spans(spark, sf_dir)).select("doc_id", "masked_text")
+    return sanitize.sanitize(_docs(spark, sf_dir)).select("doc_id", "masked_text")
 
 
 @query(f"""SELECT doc_id, start, "end", entity_type, max(score) AS score, max(match) AS match FROM ({SPANS}) WHERE score >= 0.7 GROUP BY doc_id, start, "end", entity_type, lower(match)""")
@@ -358,7 +359,7 @@ def entity_merge(spark, sf_dir):
   SELECT entity_type, CASE WHEN entity_type IN ({", ".join(f"'{t}'" for t in labels.HIGH_RISK)}) THEN 'high' ELSE 'standard' END AS risk_tier, count(DISTINCT (doc_id, lower(match))) AS entities, count(DISTINCT doc_id) AS documents, count(*) AS boxes
   FROM r GROUP BY 1, 2""")
 def entity_counts(spark, sf_dir):
-    return sanitize.entity_counts(_docs(spark, sf_dir), sanitize.TYPES)
+    return sanitize.entity_counts(_docs(spark, sf_dir))
 
 
 @query()
