@@ -110,3 +110,10 @@ def test_all_detectors_mask_and_locate(spark, sensitive):
     assert {(r.entity_type, r.entities, r.documents) for r in run("entity_counts")} == {(k, 1, 1) for k in kinds}
     assert {r.doc_id for r in run("resolve_by_box")} == {r.doc_id for r in run("entity_merge")} == set(range(6))
     assert {r.entity_text for r in run("entity_merge")} == {m for _, found in SENSITIVE for m, _ in found}
+
+
+def test_answers_hold_whole_turns(spark, folder):
+    texts = ["short", 'He said "no" \\ and left', "two\nlines\tand more " + "word " * 400 + "end", "a, b: [c] {d} 'e'"]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    got = {r.turn: (r.ok, r.quote) for r in QUERIES["answer_items"](spark, folder("conversations", rows, CONVERSATIONS)).collect()}
+    assert got == {k: (True, t) for k, t in enumerate(texts)}

@@ -379,7 +379,8 @@ def fuzzy_localization(spark, sf_dir):
 
 @query()
 def answer_items(spark, sf_dir):
-    raw = F.concat(F.lit('<think>x</think>```json\n[{"quote": "'), F.regexp_replace(F.substring("text", 1, 20), r'["\\\s]', " "), F.lit('", "category": "name", "confidence": "90%"},]\n```'))
+    item = F.to_json(F.struct(F.col("text").alias("quote"), F.lit("name").alias("category"), F.lit("90%").alias("confidence")))
+    raw = F.concat(F.lit("<think>x</think>```json\n["), item, F.lit(",]\n```"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", payloads.parse_answer(raw).alias("a"))
     return rows.select("conv_id", "turn", "a.ok", F.explode("a.items").alias("i")).select("conv_id", "turn", "ok", "i.*")
 
