@@ -117,3 +117,18 @@ def test_answers_hold_whole_turns(spark, folder):
     rows = [(1, k, "user", t) for k, t in enumerate(texts)]
     got = {r.turn: (r.ok, r.quote) for r in QUERIES["answer_items"](spark, folder("conversations", rows, CONVERSATIONS)).collect()}
     assert got == {k: (True, t) for k, t in enumerate(texts)}
+
+
+def test_boxes_of_the_whole_text(spark, folder):
+    rows = [(1, " ".join(f"word{k}" for k in range(200))), (2, "one"), (3, ""), (4, None)]
+    want = {}
+    for k, t in rows[:2]:
+        every, at, places = t.split(), 0, []
+        for w in every:
+            places.append((at, at + len(w)))
+            at += len(w) + 1
+        lines = [(places[i][0], places[min(i + 16, len(places)) - 1][1]) for i in range(0, len(places), 16)]
+        width = sum(lines[-1]) / 2
+        want |= {(k, f"text:{n}"): (a - 0.8, min(b, width) + 0.8) for n, (a, b) in enumerate(lines)}
+    got = QUERIES["box_clip_pad_whole"](spark, folder("documents", rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_key): (round(r.x0, 6), round(r.x1, 6)) for r in got} == {k: (round(a, 6), round(b, 6)) for k, (a, b) in want.items()}

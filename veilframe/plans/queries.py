@@ -158,6 +158,15 @@ def box_clip_pad(spark, sf_dir):
     return rows.select("doc_id", "line_key", B.pad("b").alias("b")).select("doc_id", "line_key", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
+@query()
+def box_clip_pad_whole(spark, sf_dir):
+    """Boxes of all lines: a document's page ends in the middle of its last line, which is clipped."""
+    rows = localize.line_boxes(words.word_spans(_docs(spark, sf_dir)))
+    width = F.max((F.col("x0") + F.col("x1")) / 2).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("width", width).select("doc_id", "line_key", B.clip(B.box("page_number", "x0", "y0", "x1", "y1"), "width", F.lit(800)).alias("b"))
+    return rows.select("doc_id", "line_key", B.pad("b").alias("b")).select("doc_id", "line_key", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
 @query("""WITH l AS (SELECT l_orderkey AS doc_id, (l_partkey % 3)::INT AS page_number, l_linenumber::VARCHAR AS line_key, l_quantity * 10 AS y0, l_quantity * 10 + 4 + l_linenumber AS y1 FROM lineitem),
   n AS (SELECT a.*, (SELECT max(b.y1) FROM l b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.y1 <= a.y0) AS above,
     (SELECT min(b.y0) FROM l b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.y0 >= a.y1) AS below FROM l a)
