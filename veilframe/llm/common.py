@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,9 @@ _LOCAL_DIR: dict[str, str] = {}
 #: Setting that lets shuffle files go when the query that wrote them ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Tables staged in the innermost ``scratch`` block.
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
+
 #: Words everywhere in this subpackage: maximal runs without space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -52,25 +58,71 @@ def per_worker(key: tuple, make):
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and return a scan of it.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation. The write's
-    shuffle files, which nothing reads again, go at its end instead of filling the
-    executors' disks; the written files go when the driver's JVM ends.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation. The write runs
+    in a clone of the session in which its shuffle files, which nothing reads again, go at
+    its end instead of filling the executors' disks; the session's own settings stay. The
+    written files go by ``drop``, at the end of the ``scratch`` block around, or with the
+    driver's JVM.
     """
     spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    clone = spark._jsparkSession.cloneSession()
+    clone.conf().set(_CLEANUP, "true")
+    jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone, df._jdf.queryExecution().logical()).write().parquet(path)
+    _files(spark, path).deleteOnExit(jvm.org.apache.hadoop.fs.Path(path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if (mine := _SCRATCH.get()) is not None:
+        mine.append(out)
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader is done; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "staged_at", None):
+            spark, df.staged_at = df.sparkSession, None
+            _files(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+@contextmanager
+def scratch():
+    """Tables staged within the block go at its end, but for those handed to the function it yields."""
+    mine: list = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine[:] = [x for x in mine if x is not df]
+        if outer is not None:
+            outer.append(df)
+        return df
+
+    outer = _SCRATCH.get()
+    token = _SCRATCH.set(mine)
     try:
-        df.write.parquet(path)
+        yield keep
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+        _SCRATCH.reset(token)
+        drop(*mine)
+
+
+#: Rows and bytes of a batch's texts that become Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
+
+
+def slices(batches):
+    """The batches in parts of few rows and bytes; one text longer than the bytes is a part of its own."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +136,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def on_worker(path: str) -> str:
+    """``path`` where this machine has it, else this machine's own copy of the public tokenizer file of that name."""
+    return path if os.path.exists(path) else tokenizer(os.path.basename(path))
+
+
 def crc_fold(doc_id, folds: int):
     """crc32 of the decimal doc_id, modulo ``folds``; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, staged
 
 
 def _stars(df: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
     now, state = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v"), None
     while True:
-        now = staged(_small_star(_large_star(now)), "links")
+        before, now = now, staged(_small_star(_large_star(now)), "links")
+        drop(before)
         if (new := _state(now)) == state or not new[0]:
             break
         state = new

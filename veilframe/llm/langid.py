@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Letters in an n-gram; log2 of the number of hash buckets.
 GRAM, BITS = 3, 15
 #: Labelled rows a language that the model is fitted on, on average.
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labelled, sample_rows: int = SAMPLE_ROWS) -> Mixture:
 
     def run(batches):
         sums: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 b, n = gram_counts(text)
                 if len(b):
@@ -152,7 +154,7 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [model.infer(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import per_worker, staged
+from .common import drop, per_worker, scratch, slices, staged
 from .components import components
 
 #: Minima in a band.
@@ -20,7 +20,7 @@ BAND_ROWS = 5
 #: Chance to miss a link of just the threshold's similarity.
 MISS = 1e-6
 #: Word hashes and signatures that a Python worker keeps.
-CACHE_WORDS, CACHE_SETS = 400_000, 2_000
+CACHE_WORDS, CACHE_SETS = 250_000, 2_000
 #: Centres that each bucket's members are held against, before the pairs left are listed.
 STAR_ROUNDS = 2
 #: Members of buckets in which pairs are listed outright; the others' pairs go through a prefix filter.
@@ -102,7 +102,7 @@ def _signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
     def run(batches):
         hashes, sign, known = per_worker(("word_hashes",), _WordHashes), Signer(bands), {}
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, signatures = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words, hashes)
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         hashes = per_worker(("word_hashes",), _WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [shingles(t, words, hashes).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["set_key", "shingles"])
 
@@ -135,7 +135,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -161,7 +161,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for m, component, raw in zip(*(batch.column(c).to_pylist() for c in ("set_key", "component", "shingles"))):
                 s = np.frombuffer(raw, np.int64)
                 n = len(s)
@@ -200,31 +200,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     is kept if that is null. Repeated rows share one component and are all kept if it is
     theirs. Other columns are ignored; an empty table gives no rows.
     """
-    bands = band_count(percent / 100)
-    rows = staged(_signed(docs, words, bands), "signed")
-    plain = rows.where("set_key is not null")
-    classes = staged(plain.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    members = staged(
-        classes.select("set_key", F.posexplode("bands").alias("band", "h")).select("set_key", F.xxhash64("band", "h").alias("bucket")),
-        "members",
-    )
-    shared = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = staged(members.join(shared, "bucket"), "shared_members")
-    weights = staged(members.groupBy("set_key").agg(F.sum("n").alias("weight")), "weights")
+    with scratch() as keep:
+        rows, labels = _labelled(docs, words, percent)
+        keep(rows), keep(labels)
+    out = rows.join(labels, "set_key", "left")
+    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
 
-    wanted = members.select("set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
+def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Staged: doc_id, n_shingles and set_key of each row, and component_id by set_key."""
+    signed = staged(_signed(docs, words, band_count(percent / 100)), "signed")
+    rows = staged(signed.select("doc_id", "n_shingles", "set_key"), "rows")
+    classes = staged(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    drop(signed)
+    every = staged(classes.select("set_key", F.posexplode("bands").alias("band", "h")).select("set_key", F.xxhash64("band", "h").alias("bucket")), "members")
+    reps = staged(classes.select("set_key", "rep"), "reps")
+    drop(classes)
+    shared = staged(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = weighed = staged(every.join(shared, "bucket"), "shared_members")
+    drop(every, shared)
+
+    # Written first, so that the texts are moved only if their ids are too many to be sent to all.
+    wanted = staged(members.select("set_key").distinct().join(reps, "set_key").select("rep").distinct(), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = staged(_sets(texts, words).dropDuplicates(["set_key"]), "sets")
+    drop(wanted)
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         return staged(_verified(pairs, sets, percent), "verified")
 
+    def joined(links: DataFrame) -> DataFrame:
+        """Components of the links found so far; the tables of the rounds go."""
+        with scratch() as keep:
+            return keep(staged(components(links), "components"))
+
     # A bucket's centre is its member with most company: buckets of one group mostly share it, and so their tests.
-    centres = members.join(weights, "set_key").groupBy("bucket").agg(F.max_by("set_key", F.struct("weight", "set_key")).alias("y"))
+    weights = members.groupBy("set_key").agg(F.sum("n").alias("weight"))
+    centres = staged(members.join(weights, "set_key").groupBy("bucket").agg(F.max_by("set_key", F.struct("weight", "set_key")).alias("y")), "centres")
+    links = tested(members.join(centres, "bucket").where("set_key != y").select(F.col("set_key").alias("x"), "y"))
     members = members.select("bucket", "set_key")
-    links = tested(members.join(staged(centres, "centres"), "bucket").where("set_key != y").select(F.col("set_key").alias("x"), "y"))
-    found = staged(components(links), "components")
+    found, before = joined(links), weighed
     for k in range(STAR_ROUNDS):
         named = members.join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
         split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("set_key", "component"), F.xxhash64("set_key", F.lit(k))).alias("c"))
@@ -232,7 +249,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if split.isEmpty():
             break
         named = staged(named.join(split, "bucket"), "open")
-        members = named.select("bucket", "set_key")
+        drop(before, split)
+        members, before = named.select("bucket", "set_key"), named
         if k < STAR_ROUNDS - 1:
             # Another centre: the member that is least by a hash of the round.
             pairs = named.where("component != of").select(F.col("set_key").alias("x"), "y")
@@ -244,14 +262,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             large = named.where(F.col("n") > SMALL_BUCKET).select("set_key", "component").distinct()
             pairs = pairs.union(_prefix_pairs(large, sets, percent))
         links = links.union(tested(pairs))
-        found = staged(components(links), "components")
+        drop(found)
+        found = joined(links)
 
-    named = classes.select("set_key", "rep").join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    named = reps.join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    labels = staged(named.join(least, "component").select("set_key", "component_id"), "labels")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows, staged(named.join(least, "component").select("set_key", "component_id"), "labels")
 
 
 def oracle(words: int, percent: int) -> str:

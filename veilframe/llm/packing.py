@@ -25,15 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import per_worker, staged
+from .common import on_worker, per_worker, slices, staged
 
 SEQUENCE = 2048
 END_ID = 1
 #: Words met in several batches whose ids a Python worker keeps before it starts afresh; half as many met once, and
 #: as many parts of words.
 CACHE_WORDS = 600_000
-#: Texts that are encoded at once.
-TEXTS = 500
 #: Gaps of fewer tokens stay padding: cutting a document for them costs more than it gains.
 MIN_FILL = 8
 #: Rows that one rank group holds on average.
@@ -156,12 +154,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
     )
 
     def run(batches):
-        encode = per_worker(("word_encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+        encode = per_worker(("word_encoder", tokenizer_path), lambda: WordEncoder(on_worker(tokenizer_path)))
         end = np.array([END_ID], encode.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = defaultdict(list)
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for raw in (x for k in range(0, len(texts), TEXTS) for x in encode(texts[k : k + TEXTS])):
+            for raw in encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]):
                 ids = np.frombuffer(raw + end, encode.dtype)
                 cut = len(ids) // sequence * sequence
                 rows["n_tokens"].append(len(ids))
@@ -290,7 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Data
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Null text counts as empty, so the row is its end id alone; null and repeated doc_ids
     are packed like others, each row by itself; other columns are ignored; an empty table
-    gives no pieces.
+    gives no pieces. Text that spells a special token is encoded as plain text.
     """
     rows = staged(tokenized(docs, tokenizer_path, sequence).withColumn("_row", F.monotonically_increasing_id()), "tokens")
     total = rows.count()
@@ -317,7 +314,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Data
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             out = {k: [] for k in ["doc_id", *names]}
             cols = [batch.column(c).to_pylist() for c in ("n_tokens", "full_crcs", "rest_len", "rest_ids", "rank", "full_from")]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold
+from .common import crc_fold, slices
 
 #: Bytes of a piece: short, so that the dictionary and not the text's own past is what helps.
 PIECE = 1024
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_use, sample_rows: int = SAMPLE_R
     held = texts.join(_sample(labels.where(half == 1), CALIBRATION_ROWS), "doc_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column("quality").cast(pa.int32())], names=["x", "short", "y"])
 
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [model.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64()), pa.array([int(g >= threshold) for g in got], pa.int32())], names=schema.names)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_worker, staged
+from .common import per_worker, slices, staged
 from .neardup import _mixed, _WordHashes
 
 SYMBOLS = "#*$%&|<>"
@@ -120,7 +120,7 @@ def stats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = per_worker(("rule_words",), _WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             got = [text_stats(t, hashes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([g[k] for g in got], pa.int64()) for k in range(len(_STATS)))], names=schema.names)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import per_worker
+from .common import on_worker, per_worker, slices
 
 #: Trie nodes, and words with known counts, that a Python worker keeps before it starts afresh.
 MAX_NODES, MAX_WORDS = 400_000, 400_000
@@ -89,8 +89,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        trie, counts = per_worker(("trie", vocabulary_path), lambda: (Trie(vocabulary(vocabulary_path)), {}))
-        for batch in batches:
+        trie, counts = per_worker(("trie", vocabulary_path), lambda: (Trie(vocabulary(on_worker(vocabulary_path))), {}))
+        for batch in slices(batches):
             n_words, n_tokens = [], []
             for text in batch.column("text").to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").split()
