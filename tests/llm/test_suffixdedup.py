@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import ODD, frame, prose
-from veilframe.llm.suffixdedup import anchors, common_prefix, dedup_substrings, merge
+from veilframe.llm.suffixdedup import anchors, dedup_substrings, merge, neighbour_prefixes
 
 
 def brute(docs, length):
@@ -48,6 +49,26 @@ def test_equals_brute_force(spark, hot):
     assert got == brute(docs, 100)
 
 
+def test_two_levels_of_exchange(spark):
+    docs = corpus()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup_substrings(frame(spark, docs.items()).repartition(5), fan=2, merge_rows=20).collect()}
+    assert got == brute(docs, 100)
+
+
+def test_very_long_texts(spark):
+    """5 MB of one letter, and an n-gram that occurs a million times in one text."""
+    grams = "".join(f"{k:06d}" + "the same thirty bytes in a row" for k in range(120_000))
+    docs = [(1, "x" * 5_000_000), (2, "own words " + "y" * 1_000_000 + " and an end"), (3, grams), (4, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in dedup_substrings(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got[1] == (5_000_000, 4_999_999, 1) and got[2] == (1_000_021, 999_999, 1) and got[4] == (0, 0, 0)
+    assert got[3] == (len(grams), 0, 0)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        dedup_substrings(frame(spark, [("a", "x" * 200), ("b", "x" * 200)], "doc_id string, text string"))
+
+
 def test_odd_rows_and_empty_table(spark):
     got = [(r.doc_id, r.n_bytes, r.n_removed) for r in dedup_substrings(frame(spark, [*ODD, (None, "x" * 120)])).collect()]
     assert sorted(x for x in got if x[0] == 7) == [(7, 5000, 5000)] * 2
@@ -73,8 +94,8 @@ def test_windows_of_equal_bytes_have_equal_anchors():
 @given(st.lists(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 2 for x in b)), max_size=8), max_size=6))
 def test_merge_sorts_and_gives_common_prefixes(runs):
     runs = [sorted(r) for r in runs]
-    coded = [(r, [0] + [common_prefix(a, b) for a, b in zip(r, r[1:])]) for r in runs]
+    coded = [(r, neighbour_prefixes(r)) for r in runs]
     order, lcps = merge(coded)
     got = [runs[a][b] for a, b in order]
     assert got == sorted(x for r in runs for x in r)
-    assert lcps[1:] == [common_prefix(a, b) for a, b in zip(got, got[1:])]
+    assert lcps[1:] == [len(os.path.commonprefix([a, b])) for a, b in zip(got, got[1:])]

@@ -18,6 +18,9 @@ _LOCAL_DIR: dict[str, str] = {}
 #: Setting that lets shuffle files go when the query that wrote them ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows that Spark hands to a Python worker at once while a staged table is written.
+_BATCH_ROWS = 2000
+
 #: Tables staged in the innermost ``scratch`` block.
 _SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
 
@@ -60,7 +63,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation. The write runs
     in a clone of the session in which its shuffle files, which nothing reads again, go at
-    its end instead of filling the executors' disks; the session's own settings stay. The
+    its end instead of filling the executors' disks, and Python gets small batches; the
+    session's own settings stay. The
     written files go by ``drop``, at the end of the ``scratch`` block around, or with the
     driver's JVM.
     """
@@ -69,6 +73,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
     clone = spark._jsparkSession.cloneSession()
     clone.conf().set(_CLEANUP, "true")
+    clone.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH_ROWS))
     jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone, df._jdf.queryExecution().logical()).write().parquet(path)
     _files(spark, path).deleteOnExit(jvm.org.apache.hadoop.fs.Path(path))
     out = spark.read.schema(df.schema).parquet(path)

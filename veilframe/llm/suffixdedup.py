@@ -1,49 +1,66 @@
 """Exact repeated substrings by a distributed merge sort of suffixes.
 
-0.  Of equal texts only the first takes part; the others repeat it throughout.
+0.  Of equal texts (by a 128-bit digest) only the first takes part; the others repeat it
+    throughout.
 1.  Each text is cut into anchors: of the n-grams of every ``length``-byte string the one
     with the least hash, so that equal strings have equal anchors. Only anchors whose
     n-gram occurs twice in the corpus go on: the others' strings are unique.
-2.  Tasks sort the suffixes at these anchors into runs. Of equal neighbourhoods in a run
-    only the first stays; the others are repeats already. Runs are front-coded (each
-    suffix by its common prefix with the one before and the rest) and exchanged, all
-    suffixes with one n-gram to one task.
+2.  Tasks sort the suffixes at these anchors into runs, a bounded number at a time. Of
+    equal neighbourhoods in a run only the first stays; the others are repeats already.
+    Runs are front-coded (each suffix by its common prefix with the one before and the
+    rest) and exchanged, all suffixes with one n-gram to one task. With more than ``fan``
+    such tasks the exchange has two levels, each of about the square root as many
+    receivers: runs are merged halfway into longer ones, so that a run never gets short
+    however large the corpus is.
 3.  There a loser tree merges the runs. It carries the common prefix of every loser with
     the last winner, so that no known prefix is compared again, and yields the common
     prefixes of the merged order. Suffixes whose common prefix is long enough, and whose
     bytes before the anchor agree, hold equal strings; all but the first are repeats.
 
-N-grams that occur more than ``hot`` times take another exact way: their strings are
-spread by hash, one row for each, and the first of each is found by an aggregation.
+N-grams with more than ``hot`` occurrences, in however few texts, take another exact way:
+their strings are spread by a 128-bit hash, and the first of each is found by an
+aggregation. Of strings met shortly before in the same text only the first gets a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import staged
+from .common import drop, scratch, slices, staged
 
 LENGTH = 100
 #: Bytes of an anchor's n-gram.
 GRAM = 24
 #: Occurrences of an n-gram beyond which its strings are spread by hash.
 HOT = 50_000
-#: Suffixes in a run; anchors that a merging task gets on average.
-RUN, MERGE_ROWS = 100_000, 100_000
+#: Suffixes in a run (of at most twice ``length`` bytes each); anchors that a merging task gets on average.
+RUN, MERGE_ROWS = 50_000, 100_000
+#: Merging tasks beyond which the exchange has two levels.
+FAN = 256
 #: Window starts taken at once from a long text; fewer than 2^24.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 18
+#: Strings of a hot n-gram that a text remembers.
+RECENT = 100_000
+#: Rows that a task gathers before it hands them on.
+OUT_ROWS = 20_000
 
 _B = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_KINDS = "kind int, k1 long, k2 long, doc_id long, n1 long, n2 long, data binary"
+#: Texts (by digest), runs (task, group), repeats (digest, first and last start) and strings (hash, place) in one table.
+_KINDS = "kind int, same binary, k1 long, k2 long, doc_id long, n1 long, n2 long, data binary"
 _TEXT, _RUN, _DUP, _ROW = range(4)
+#: Numbers that go with a suffix.
+_INTS = 6
 
 
 def gram_hashes(raw: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -94,58 +111,54 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM):
 
 
 class Run:
-    """Suffixes in order, with what belongs to each: doc_id, row, place, bytes before it."""
+    """Suffixes in order, with what belongs to each: bytes before it, doc_id, digest, place, least distance, task."""
 
     def __init__(self):
         self.rows = []
 
-    def add(self, raw: bytes, doc_id: int, row: int, place: int, first: int, last: int, length: int):
-        self.rows.append((raw[place : last + length], raw[first:place], doc_id, row, place, place - last))
-
     def packed(self, zstd) -> tuple[list, bytes]:
-        """Repeats within the run as (row, first start, last start), and the front-coded rest."""
+        """Repeats within the run as (digest, first start, last start), and the front-coded rest."""
         self.rows.sort()
         repeats, kept, prior = [], [], None
         for x in self.rows:
             if prior is not None and x[0] == prior[0] and x[1] == prior[1]:
-                repeats.append((x[3], x[4] - len(x[1]), x[4] - x[5]))
+                repeats.append((_digest(x[3], x[4]), x[5] - len(x[1]), x[5] - x[6]))
             else:
                 kept.append(x)
                 prior = x
         return repeats, encode(kept, zstd)
 
 
-def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
-    """Length of the common prefix of two byte strings of which ``known`` bytes agree."""
-    most = min(len(a), len(b))
-    if a[known:most] == b[known:most]:
-        return most
-    k = known
-    while a[k] == b[k]:
-        k += 1
-    return k
+def neighbour_prefixes(strings: list[bytes]) -> list[int]:
+    """Common prefix of each string with the one before, 0 for the first."""
+    out = [0] * min(1, len(strings))
+    for k in range(1, len(strings), 8192):
+        part = strings[k - 1 : k + 8191]
+        sizes = np.array(list(map(len, part)))
+        width = int(sizes.max()) + 1
+        flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in part), np.uint8).reshape(len(part), width)
+        differ = flat[1:] != flat[:-1]
+        differ[:, -1] = True
+        out += np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1])).tolist()
+    return out
 
 
 def encode(rows: list, zstd) -> bytes:
     """Front coding: common prefix with the suffix before, length of the rest, the rest."""
-    n, prior, lcps, rests = len(rows), b"", [], []
-    for x in rows:
-        k = common_prefix(prior, x[0])
-        lcps.append(k)
-        rests.append(x[0][k:])
-        prior = x[0]
-    ints = np.array([(x[2], x[3], x[4], x[5]) for x in rows], np.int64).reshape(n, 4).T
+    n, lcps = len(rows), neighbour_prefixes([x[0] for x in rows])
+    rests = [x[0][k:] for x, k in zip(rows, lcps)]
+    ints = np.array([x[2:] for x in rows], np.int64).reshape(n, _INTS).T
     parts = [np.array(lcps, np.int32).tobytes(), np.array([len(r) for r in rests], np.int32).tobytes(), np.array([len(x[1]) for x in rows], np.int32).tobytes(), ints.tobytes(), b"".join(rests), b"".join(x[1] for x in rows)]
     return struct.pack("<q", n) + zstd.compress(b"".join(parts))
 
 
 def decode(data: bytes):
-    """suffixes, common prefixes, bytes before, and doc_id, row, place, least distance."""
+    """suffixes, common prefixes, bytes before, and doc_id, digest (two), place, least distance and task."""
     (n,) = struct.unpack_from("<q", data)
     raw = zstandard.ZstdDecompressor().decompress(data[8:])
     lcps, sizes, befores = np.frombuffer(raw, np.int32, 3 * n).reshape(3, n)
-    ints = np.frombuffer(raw, np.int64, 4 * n, 12 * n).reshape(4, n)
-    at, out, prior = 44 * n, [], b""
+    ints = np.frombuffer(raw, np.int64, _INTS * n, 12 * n).reshape(_INTS, n)
+    at, out, prior = (12 + 8 * _INTS) * n, [], b""
     for k, size in zip(lcps.tolist(), sizes.tolist()):
         prior = prior[:k] + raw[at : at + size]
         out.append(prior)
@@ -219,38 +232,42 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
     return order, lcps
 
 
-def repeats(lcps: np.ndarray, before: list[bytes], ints: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(row, first start, last start) of strings that an earlier place holds too.
+def repeats(lcps: np.ndarray, before: list[bytes], ints: np.ndarray, length: int = LENGTH) -> list[tuple[bytes, int, int]]:
+    """(digest, first start, last start) of strings that an earlier place holds too.
 
-    ``ints``: doc_id, row, place and least distance of the sorted suffixes.
+    ``ints``: doc_id, digest (two), place and least distance of the sorted suffixes. The
+    bytes before are compared by two hashes of 64 bits.
     """
     n = len(before)
     if not n:
         return []
     most = np.array([len(b) for b in before])
-    least = ints[3]
+    place, least = ints[3], ints[4]
     width = int(most.max())
     # Hash of the d bytes before the place, for every d.
     left = np.zeros((n, width), np.uint8)
     for k, b in enumerate(before):
         if b:
             left[k, : len(b)] = np.frombuffer(b[::-1], np.uint8)
-    order = np.lexsort((ints[2], ints[1], ints[0]))
+    order = np.lexsort((place, ints[2], ints[1], ints[0]))
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    hashed = np.zeros(n, np.uint64)
+    hashed, again = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     who, where = [], []
     for d in range(width + 1):
         if d:
             hashed = (hashed + left[:, d - 1].astype(np.uint64) + np.uint64(1)) * _B[0]
             hashed ^= hashed >> np.uint64(31)
+            again = (again ^ (left[:, d - 1].astype(np.uint64) + _B[2])) * _B[1]
+            again ^= again >> np.uint64(29)
         live = np.flatnonzero((least <= d) & (d <= most))
         if len(live) < 2:
             continue
         group = np.cumsum(lcps < length - d)[live].astype(np.uint64)
         key = (group + np.uint64(1)) * _B[1] ^ hashed[live]
         by = np.lexsort((rank[live], key))
-        same = key[by][1:] == key[by][:-1]
+        check = again[live] ^ (group * _B[0])
+        same = (key[by][1:] == key[by][:-1]) & (check[by][1:] == check[by][:-1])
         dup = live[by[1:][same]]
         who.append(dup)
         where.append(np.full(len(dup), d))
@@ -264,14 +281,38 @@ def repeats(lcps: np.ndarray, before: list[bytes], ints: np.ndarray, length: int
     new = np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)])
     start = np.flatnonzero(new)
     stop = np.concatenate([start[1:], [len(who)]]) - 1
-    w, place = who[start], ints[2]
-    return list(zip(ints[1][w].tolist(), (place[w] - where[stop]).tolist(), (place[w] - where[start]).tolist()))
+    w = who[start]
+    digests = map(_digest, ints[1][w].tolist(), ints[2][w].tolist())
+    return list(zip(digests, (place[w] - where[stop]).tolist(), (place[w] - where[start]).tolist()))
+
+
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row (key of both), same (key of the text) and order (doc_id, null before all)."""
-    text, order = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.select("doc_id", "text", F.xxhash64(order, text).alias("row"), F.xxhash64(text).alias("same"), order.alias("order"))
+    """doc_id, text, same (digest of the text) and order (doc_id, null before all)."""
+    if not isinstance(docs.schema["doc_id"].dataType, _INTEGERS):
+        raise TypeError("doc_id must be an integer")
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select("doc_id", "text", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("same"), order.alias("order"))
+
+
+def _head():
+    """First 60 bits of the digest as a number."""
+    return F.conv(F.substring(F.hex("same"), 1, 15), 16, 10).cast("long")
+
+
+_SIGN = 1 << 63
+
+
+def _numbers(same: bytes) -> tuple[int, int]:
+    """A digest as two numbers in the same order."""
+    a, b = struct.unpack(">QQ", same)
+    return a - _SIGN, b - _SIGN
+
+
+def _digest(a: int, b: int) -> bytes:
+    return struct.pack(">QQ", a + _SIGN, b + _SIGN)
 
 
 def _bytes(text: str | None) -> bytes:
@@ -279,108 +320,158 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _grams(docs: DataFrame, length: int) -> DataFrame:
-    """same and h for each n-gram that is an anchor in a text; an n-gram that is one twice also under another ``same``.
+    """head (of the text's digest), h and n for each n-gram that is an anchor n times in a text.
 
-    Copies that a task has met already yield nothing again.
+    Copies that a task has met shortly before yield nothing again. 60 bits of the digest
+    do here: they only tell two texts with a common n-gram apart.
     """
 
     def run(batches):
         met = set()
-        for batch in batches:
-            keys, hashes = [], []
+        for batch in slices(batches):
+            heads, hashes, times = [], [], []
             for same, text in zip(batch.column("same").to_pylist(), batch.column("text").to_pylist()):
                 if same in met:
                     continue
+                if len(met) > RECENT:
+                    met.clear()
                 met.add(same)
                 h = anchors(np.frombuffer(_bytes(text), np.uint8), length)[0]
                 if len(h):
                     h, n = np.unique(h, return_counts=True)
-                    keys += [np.full(len(h), same), np.full(int((n > 1).sum()), ~same)]
-                    hashes += [h, h[n > 1]]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, hashes)], names=["same", "h"])
+                    heads.append(np.full(len(h), int.from_bytes(same[:8], "big") >> 4, np.int64))
+                    hashes.append(h)
+                    times.append(n)
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, hashes, times)], names=["head", "h", "n"])
+
+    return docs.select("same", "text").mapInArrow(run, "head long, h long, n long")
+
 
-    return docs.select("same", "text").mapInArrow(run, "same long, h long")
+class _Out:
+    """Rows of ``_KINDS`` on their way out."""
 
+    TYPES = (pa.int32(), pa.binary(), *[pa.int64()] * 5, pa.binary())
 
-def _sorted_runs(rows: DataFrame, length: int, tasks: int) -> DataFrame:
+    def __init__(self):
+        self.columns = {name.split()[0]: [] for name in _KINDS.split(", ")}
+
+    def put(self, kind, same=None, k1=0, k2=0, doc_id=None, n1=0, n2=0, data=None):
+        for column, v in zip(self.columns.values(), (kind, same, k1, k2, doc_id, n1, n2, data)):
+            column.append(v)
+
+    def __len__(self):
+        return len(self.columns["kind"])
+
+    def taken(self):
+        found = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(self.columns.values(), self.TYPES)], names=list(self.columns))
+        for v in self.columns.values():
+            v.clear()
+        return found
+
+
+def _sorted_runs(rows: DataFrame, length: int, tasks: int, wide: int, groups: int) -> DataFrame:
     """Runs, repeats found on the way, strings of hot n-grams and the texts concerned."""
 
     def run(batches):
         zstd = zstandard.ZstdCompressor(level=1)
+        mine = TaskContext.get().partitionId() % groups if TaskContext.get() else 0
         runs: dict[int, Run] = {}
-        held = 0
-        out = {name.split()[0]: [] for name in _KINDS.split(", ")}
-
-        def put(kind, k1=0, k2=0, doc_id=None, n1=0, n2=0, data=None):
-            for name, v in zip(out, (kind, k1, k2, doc_id, n1, n2, data)):
-                out[name].append(v)
-
-        def batch_out():
-            kinds = (pa.int32(), *[pa.int64()] * 5, pa.binary())
-            found = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-            for v in out.values():
-                v.clear()
-            return found
+        held, out = 0, _Out()
 
         def flush():
             for task, one in runs.items():
                 found, data = one.packed(zstd)
-                for row, lo, hi in found:
-                    put(_DUP, row, 0, None, lo, hi)
-                put(_RUN, task, data=data)
+                for same, lo, hi in found:
+                    out.put(_DUP, same, n1=lo, n2=hi)
+                out.put(_RUN, None, task, mine, data=data)
             runs.clear()
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "grams", "hot")]
-            for row, doc_id, text, grams, hot in zip(*columns):
+        for batch in slices(batches):
+            for same, doc_id, text, grams, hot in zip(*(batch.column(c).to_pylist() for c in ("same", "order", "text", "grams", "hot"))):
                 raw = _bytes(text)
+                k1, k2 = _numbers(same)
                 h, place, first, last = anchors(np.frombuffer(raw, np.uint8), length)
-                put(_TEXT, row, data=zstd.compress(raw))
+                out.put(_TEXT, same, data=zstd.compress(raw))
                 for k in np.flatnonzero(np.isin(h, np.array(grams, np.int64))).tolist():
-                    runs.setdefault(int(h[k]) % tasks, Run()).add(raw, doc_id, row, int(place[k]), int(first[k]), int(last[k]), length)
+                    p, lo, hi, task = int(place[k]), int(first[k]), int(last[k]), int(h[k]) % tasks
+                    runs.setdefault(task % wide, Run()).rows.append((raw[p : hi + length], raw[lo:p], doc_id, k1, k2, p, p - hi, task))
                     held += 1
-                for k in np.flatnonzero(np.isin(h, np.array(hot or [], np.int64))).tolist():
+                    if held >= RUN:
+                        flush()
+                        held = 0
+                    if len(out) > OUT_ROWS:
+                        yield out.taken()
+                recent: set = set()
+                for k in np.flatnonzero(np.isin(h, np.array(hot or [], np.int64))).tolist() if hot else ():
+                    again = None
                     for q in range(int(first[k]), int(last[k]) + 1):
-                        a, b = struct.unpack("<qq", hashlib.blake2b(raw[q : q + length], digest_size=16).digest())
-                        put(_ROW, a, b, doc_id, row, q)
-                if held >= RUN:
-                    flush()
-                    held = 0
-                if len(out["kind"]) > 20_000:
-                    yield batch_out()
-            yield batch_out()
+                        key = hashlib.blake2b(raw[q : q + length], digest_size=16).digest()
+                        if key in recent:
+                            if again is None:
+                                again = q
+                            continue
+                        if again is not None:
+                            out.put(_DUP, same, n1=again, n2=q - 1)
+                            again = None
+                        if len(recent) > RECENT:
+                            recent.clear()
+                        recent.add(key)
+                        out.put(_ROW, same, *struct.unpack("<qq", key), doc_id, q)
+                    if again is not None:
+                        out.put(_DUP, same, n1=again, n2=int(last[k]))
+                    if len(out) > OUT_ROWS:
+                        yield out.taken()
+            yield out.taken()
         flush()
-        yield batch_out()
+        yield out.taken()
 
     return rows.mapInArrow(run, _KINDS)
 
 
+def _merge_runs(table: pa.Table):
+    """Suffixes, common prefixes, bytes before and numbers of all runs of a group, merged."""
+    parts = [decode(x) for x in table.column("data").to_pylist()]
+    order, lcps = merge([(p[0], p[1]) for p in parts])
+    offset = np.cumsum([0] + [len(p[0]) for p in parts])
+    ints = np.concatenate([p[3] for p in parts], axis=1)[:, [offset[r] + k for r, k in order]]
+    return [parts[r][0][k] for r, k in order], lcps, [parts[r][2][k] for r, k in order], ints
+
+
+def _regrouped(runs: DataFrame) -> DataFrame:
+    """Runs of many tasks, merged by group and cut into one longer run for each task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        zstd = zstandard.ZstdCompressor(level=1)
+        strings, _, before, ints = _merge_runs(table)
+        by_task: dict[int, list] = {}
+        for s, b, numbers in zip(strings, before, ints.T.tolist()):
+            by_task.setdefault(numbers[-1], []).append((s, b, *numbers))
+        return pa.table({"task": pa.array(by_task, pa.int64()), "data": pa.array([encode(x, zstd) for x in by_task.values()], pa.binary())})
+
+    return runs.groupBy("k1", "k2").applyInArrow(run, "task long, data binary")
+
+
 def _merged(runs: DataFrame, length: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        parts = [decode(x) for x in table.column("data").to_pylist()]
-        order, lcps = merge([(p[0], p[1]) for p in parts])
-        before = [parts[r][2][k] for r, k in order]
-        offset = np.cumsum([0] + [len(p[0]) for p in parts])
-        ints = np.concatenate([p[3] for p in parts], axis=1)[:, [offset[r] + k for r, k in order]]
+        _, lcps, before, ints = _merge_runs(table)
         found = repeats(np.array(lcps), before, ints, length)
-        return pa.table({"row": pa.array([f[0] for f in found], pa.int64()), "lo": pa.array([f[1] for f in found], pa.int64()), "hi": pa.array([f[2] for f in found], pa.int64())})
+        return pa.table({"same": pa.array([f[0] for f in found], pa.binary()), "lo": pa.array([f[1] for f in found], pa.int64()), "hi": pa.array([f[2] for f in found], pa.int64())})
 
-    return runs.groupBy("task").applyInArrow(run, "row long, lo long, hi long")
+    return runs.groupBy("task").applyInArrow(run, "same binary, lo long, hi long")
 
 
-def removed_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes under half-open spans."""
-    out: list = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _united(found: DataFrame, length: int) -> DataFrame:
+    """same and spans: the disjoint byte ranges under the strings from lo to hi. One row holds a text's spans, not its strings."""
+    doc = Window.partitionBy("same").orderBy("lo")
+    rows = found.select("same", "lo", (F.col("hi") + length).alias("hi"))
+    rows = rows.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    rows = rows.withColumn("span", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("same", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return rows.groupBy("same").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, fan: int = FAN, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """Spans of the UTF-8 bytes of each text under a ``length``-byte string that starts earlier too.
 
     One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, spans (half-open byte
@@ -388,62 +479,78 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     a smaller doc_id (null before all) or an earlier start in the same text; overlaps
     count; strings are judged on the input and never cross documents. Null text counts as
     empty. Rows that repeat both doc_id and text are one place and end alike; of rows that
-    share a doc_id only, a hash of the text tells which is earlier. Other columns are
-    ignored; an empty table gives no rows.
+    share a doc_id only, a digest of the text tells which is earlier. doc_id must be of an
+    integer type, else a TypeError is raised. Other columns are ignored; an empty table
+    gives no rows.
     """
     keyed = _keys(docs)
+    with scratch() as keep:
+        firsts, cuts = (keep(x) for x in _cuts(keyed, length, hot, fan, merge_rows))
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    whole = keyed.select("doc_id", "same", "order", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
+    whole = whole.join(firsts.select("same", F.col("order").alias("first")), "same").join(cuts, "same", "left")
     # Of texts that are the same only the first takes part; all of the others repeats it.
-    firsts = staged(keyed.groupBy("same").agg(F.min(F.struct("order", "row")).alias("first")).select("same", "first.*"), "firsts")
+    copy = (F.col("order") != F.col("first")) & (F.col("n_bytes") >= length)
+    none = F.array().cast("array<struct<lo:long,hi:long>>")
+    return whole.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+    )
+
+
+def _cuts(keyed: DataFrame, length: int, hot: int, fan: int, merge_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Staged: the least order of each text, and what is cut from each first text."""
+    firsts = staged(keyed.groupBy("same").agg(F.min("order").alias("order")), "firsts")
     grams = staged(_grams(keyed, length), "grams")
-    twice = staged(grams.groupBy("h").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("h", "n"), "twice")
-    wanted = grams.join(twice.select("h", (F.col("n") > hot).alias("is_hot")), "h").groupBy("same")
+    twice = grams.groupBy("h").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    twice = staged(twice.where("lo != hi or most > 1").select("h", "n"), "twice")
+    wanted = grams.join(twice.select("h", (F.col("n") > hot).alias("is_hot")), "h").groupBy("head")
     wanted = wanted.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("h"))).alias("grams"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
-    wanted = wanted.join(firsts, "same").select("row", F.col("order").alias("doc_id"), "grams", "hot")
+    # Two texts of one head only take each other's n-grams along.
+    wanted = wanted.join(firsts.select("same", "order", _head().alias("head")), "head").drop("head")
     total = twice.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, total // MERGE_ROWS)
-    mine = keyed.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
-    parts = staged(_sorted_runs(mine, length, tasks), "runs")
-
-    found = parts.where(F.col("kind") == _DUP).select(F.col("k1").alias("row"), F.col("n1").alias("lo"), F.col("n2").alias("hi"))
-    found = found.union(_merged(parts.where(F.col("kind") == _RUN).select(F.col("k1").alias("task"), "data"), length))
-    strings = parts.where(F.col("kind") == _ROW).select("k1", "k2", F.struct("doc_id", F.col("n1").alias("row"), F.col("n2").alias("at")).alias("place"))
-    if total and twice.where(F.col("n") > hot).limit(1).count():
+    tasks = max(1, total // merge_rows)
+    wide = tasks if tasks <= fan else math.isqrt(tasks - 1) + 1
+    groups = 1 if tasks <= fan else -(-tasks // wide)
+    mine = keyed.select("same", "order", "text").join(wanted, ["same", "order"]).dropDuplicates(["same"])
+    any_hot = not twice.where(F.col("n") > hot).isEmpty()
+    parts = staged(_sorted_runs(mine, length, tasks, wide, groups), "runs")
+    drop(grams, twice)
+
+    runs = parts.where(F.col("kind") == _RUN)
+    if groups > 1:
+        runs = staged(_regrouped(runs.select("k1", "k2", "data")), "long_runs")
+    else:
+        runs = runs.select(F.col("k1").alias("task"), "data")
+    found = parts.where(F.col("kind") == _DUP).select("same", F.col("n1").alias("lo"), F.col("n2").alias("hi"))
+    found = found.union(_merged(runs, length))
+    if any_hot:
+        strings = parts.where(F.col("kind") == _ROW).select("k1", "k2", F.struct("doc_id", "same", F.col("n1").alias("at")).alias("place"))
         first = staged(strings.groupBy("k1", "k2").agg(F.min("place").alias("first")), "first")
         later = strings.join(first, ["k1", "k2"]).where("place != first")
-        found = found.union(later.select("place.row", F.col("place.at").alias("lo"), F.col("place.at").alias("hi")))
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = parts.where(F.col("kind") == _TEXT).select(F.col("k1").alias("row"), "data").join(spans, "row")
+        found = found.union(later.select("place.same", F.col("place.at").alias("lo"), F.col("place.at").alias("hi")))
+    texts = parts.where(F.col("kind") == _TEXT).select("same", "data").join(_united(found, length), "same")
 
     def cut(batches):
-        for batch in batches:
-            rows, kept, sums, shas = batch.column("row"), [], [], []
-            for data, found in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist()):
+        for batch in slices(batches):
+            kept, sums, shas = [], [], []
+            for data, gone in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist()):
                 raw = zstandard.ZstdDecompressor().decompress(data)
-                gone = removed_spans([(x["lo"], x["hi"] + length) for x in found])
-                edges = [0, *(e for s in gone for e in s), len(raw)]
+                edges = [0, *(e for s in gone for e in (s["lo"], s["hi"])), len(raw)]
                 digest = hashlib.sha256()
                 for a, b in zip(edges[::2], edges[1::2]):
                     digest.update(raw[a:b])
-                kept.append([{"lo": a, "hi": b} for a, b in gone])
-                sums.append(sum(b - a for a, b in gone))
+                kept.append(gone)
+                sums.append(sum(s["hi"] - s["lo"] for s in gone))
                 shas.append(digest.hexdigest())
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(kept, kind), pa.array(sums, pa.int64()), pa.array(shas, pa.string())], names=["row", "spans", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("same"), pa.array(kept, kind), pa.array(sums, pa.int64()), pa.array(shas, pa.string())], names=["same", "spans", "n_removed", "kept_sha256"])
 
-    cuts = staged(texts.mapInArrow(cut, "row long, spans array<struct<lo:long,hi:long>>, n_removed long, kept_sha256 string"), "cuts")
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    whole = keyed.select("doc_id", "row", "same", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
-    whole = whole.join(firsts.select("same", F.col("row").alias("first_row")), "same").join(cuts, "row", "left")
-    copy = (F.col("row") != F.col("first_row")) & (F.col("n_bytes") >= length)
-    none = F.array().cast("array<struct<lo:long,hi:long>>")
-    return whole.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
-    )
+    return firsts, staged(texts.mapInArrow(cut, "same binary, spans array<struct<lo:long,hi:long>>, n_removed long, kept_sha256 string"), "cuts")
 
 
 #: The same digest in DuckDB, byte by byte in hexadecimal; doc_id is unique there.
