@@ -45,7 +45,7 @@ GRAM = 24
 #: Occurrences of an n-gram beyond which its strings are spread by hash.
 HOT = 50_000
 #: Suffixes in a run (of at most twice ``length`` bytes each); anchors that a merging task gets on average.
-RUN, MERGE_ROWS = 50_000, 100_000
+RUN, MERGE_ROWS = 50_000, 50_000
 #: Merging tasks beyond which the exchange has two levels.
 FAN = 256
 #: Window starts taken at once from a long text; fewer than 2^24.
@@ -110,6 +110,17 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return np.concatenate(hashes).view(np.int64), rows[:, 0], rows[:, 1], rows[:, 2]
 
 
+def united(found: list[tuple[bytes, int, int]], length: int) -> list[tuple[bytes, int, int]]:
+    """Ranges of starts (digest, first, last), those of a text made one where their strings touch."""
+    out: list = []
+    for same, lo, hi in sorted(found):
+        if out and out[-1][0] == same and lo <= out[-1][2] + length:
+            out[-1] = (same, out[-1][1], max(hi, out[-1][2]))
+        else:
+            out.append((same, lo, hi))
+    return out
+
+
 class Run:
     """Suffixes in order, with what belongs to each: bytes before it, doc_id, digest, place, least distance, task."""
 
@@ -269,8 +280,8 @@ def repeats(lcps: np.ndarray, before: list[bytes], ints: np.ndarray, length: int
         check = again[live] ^ (group * _B[0])
         same = (key[by][1:] == key[by][:-1]) & (check[by][1:] == check[by][:-1])
         dup = live[by[1:][same]]
-        who.append(dup)
-        where.append(np.full(len(dup), d))
+        who.append(dup.astype(np.int32))
+        where.append(np.full(len(dup), d, np.int16))
     if not who:
         return []
     who, where = np.concatenate(who), np.concatenate(where)
@@ -380,11 +391,13 @@ def _sorted_runs(rows: DataFrame, length: int, tasks: int, wide: int, groups: in
         held, out = 0, _Out()
 
         def flush():
+            found = []
             for task, one in runs.items():
-                found, data = one.packed(zstd)
-                for same, lo, hi in found:
-                    out.put(_DUP, same, n1=lo, n2=hi)
+                more, data = one.packed(zstd)
+                found += more
                 out.put(_RUN, None, task, mine, data=data)
+            for same, lo, hi in united(found, length):
+                out.put(_DUP, same, n1=lo, n2=hi)
             runs.clear()
 
         for batch in slices(batches):
@@ -455,7 +468,7 @@ def _regrouped(runs: DataFrame) -> DataFrame:
 def _merged(runs: DataFrame, length: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         _, lcps, before, ints = _merge_runs(table)
-        found = repeats(np.array(lcps), before, ints, length)
+        found = united(repeats(np.array(lcps), before, ints, length), length)
         return pa.table({"same": pa.array([f[0] for f in found], pa.binary()), "lo": pa.array([f[1] for f in found], pa.int64()), "hi": pa.array([f[2] for f in found], pa.int64())})
 
     return runs.groupBy("task").applyInArrow(run, "same binary, lo long, hi long")
@@ -511,15 +524,16 @@ def _cuts(keyed: DataFrame, length: int, hot: int, fan: int, merge_rows: int) ->
     wanted = grams.join(twice.select("h", (F.col("n") > hot).alias("is_hot")), "h").groupBy("head")
     wanted = wanted.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("h"))).alias("grams"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
     # Two texts of one head only take each other's n-grams along.
-    wanted = wanted.join(firsts.select("same", "order", _head().alias("head")), "head").drop("head")
+    wanted = staged(wanted.join(firsts.select("same", "order", _head().alias("head")), "head").drop("head"), "wanted")
     total = twice.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, total // merge_rows)
     wide = tasks if tasks <= fan else math.isqrt(tasks - 1) + 1
     groups = 1 if tasks <= fan else -(-tasks // wide)
-    mine = keyed.select("same", "order", "text").join(wanted, ["same", "order"]).dropDuplicates(["same"])
     any_hot = not twice.where(F.col("n") > hot).isEmpty()
-    parts = staged(_sorted_runs(mine, length, tasks, wide, groups), "runs")
     drop(grams, twice)
+    mine = keyed.select("same", "order", "text").join(wanted, ["same", "order"]).dropDuplicates(["same"])
+    parts = staged(_sorted_runs(mine, length, tasks, wide, groups), "runs")
+    drop(wanted)
 
     runs = parts.where(F.col("kind") == _RUN)
     if groups > 1:
