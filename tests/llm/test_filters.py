@@ -43,6 +43,34 @@ def test_classifier_odd_rows(spark):
     assert {r.score for r in quality.score(frame(spark, ODD), none).collect()} == {0.5}
 
 
+def test_classifier_equals_brute_force(spark):
+    """Scores follow from the compressed sizes of whole texts alone, worked out plainly."""
+    import zstandard
+
+    docs, labels = labelled(spark, 200)
+    model = quality.fit(docs, labels, F.lit(True))
+    clash = docs.withColumn("score", F.lit("clash")).withColumn("predicted", F.lit("clash"))
+    got = {x.doc_id: x for x in quality.score(clash, model).collect()}
+    dictionaries = [zstandard.ZstdCompressionDict(d) for d in model.dictionaries]
+    for x in docs.collect():
+        raw = x.text.encode()
+        sizes = [0, 0]
+        for k in range(0, len(raw), quality.PIECE):
+            for i, d in enumerate(dictionaries):
+                c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+                sizes[i] += len(c.compress(raw[k : k + quality.PIECE]))
+        z = model.weights[0] + model.weights[1] * (sizes[1] - sizes[0]) / (len(raw) + quality.SHORT)
+        assert got[x.doc_id].score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+        assert got[x.doc_id].predicted == (got[x.doc_id].score >= 0.3)
+
+
+def test_classifier_leaves_out_conflicting_labels(spark):
+    docs, labels = labelled(spark, 200)
+    flipped = labels.selectExpr("doc_id", "1 - quality as quality", "toxic")
+    none = quality.fit(docs, labels.union(flipped), F.lit(True))
+    assert {x.score for x in quality.score(docs, none).collect()} == {0.5}
+
+
 def test_classifier_on_data(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.01")
     docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
@@ -138,6 +166,54 @@ def test_cutoffs_are_proven(spark):
     assert few == 0
 
 
+def test_joint_false_rejections_hold_per_stratum():
+    """Simulated holdouts: the level in force rejects more than the limit in at most the stated share of runs."""
+    r, level, n = random.Random(9), 0.05, 400
+    truth = [0.002 * k for k in range(25)]
+    wrong = 0
+    for _ in range(400):
+        draws = [r.random() for _ in range(n)]
+        k = rules.accepted([sum(x < p for x in draws) for p in truth], n, 0.02, level)
+        wrong += k > 0 and truth[k - 1] > 0.02
+    assert wrong <= 400 * level * 1.6
+
+
+def test_strata_unite_where_labels_are_few():
+    assert rules.strata({0: 500, 1: 500, 2: 500}) == [0, 100, 1000]
+    assert rules.strata({0: 500, 1: 500, 2: 10}) == [0, 100]
+    assert rules.strata({0: 10, 1: 500, 2: 300}) == [0, 1000]
+    assert rules.strata({}) == [0]
+    assert rules.least_rows(0.02, 0.05) == 149 and rules.binomial_cdf(0, 149, 0.02) <= 0.05 < rules.binomial_cdf(0, 148, 0.02)
+
+
+def test_path_tightens_all_rules_together():
+    """Against a plain reading: the strictest cutoff that rejects no good value, less the margin."""
+    cutoffs = [1.0 - 0.1 * k for k in range(10)]
+    values = [0.05, 0.25, 0.33, 0.61]
+    reached = {"one": {}}
+    for v in values:
+        k = sum(c <= v for c in cutoffs)
+        reached["one"][k] = reached["one"].get(k, 0) + 1
+    levels = rules.path(reached, rules={"one": cutoffs})
+    strictest = max(k for k, c in enumerate(cutoffs) if not any(v >= c for v in values))
+    assert [x.get("one") for x in levels[: len(rules.MARGINS)]] == [cutoffs[strictest - m] if strictest >= m else None for m in rules.MARGINS]
+
+
+def test_rules_take_effect_on_data(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.01")
+    docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
+    got = rules.quality_rules(docs.withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit(0)), labels).join(labels, "doc_id").where("not base_failed").collect()
+    assert any(x.failed_rules for x in got)
+    good = [x for x in got if x.quality == 1]
+    assert sum(not x.kept for x in good) <= rules.RISK * len(good)
+
+
+def test_rules_leave_out_conflicting_labels(spark):
+    docs = frame(spark, [(k, prose(k, 60, 900)) for k in range(400)])
+    labels = spark.createDataFrame([(k, q, 0) for k in range(400) for q in (0, 1)], "doc_id long, quality int, toxic int")
+    assert rules.quality_rules(docs, labels).where("size(failed_rules) > 0").count() == 0
+
+
 def test_rules_odd_rows(spark):
     labels = spark.createDataFrame([(7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = rules.quality_rules(frame(spark, ODD), labels).collect()
@@ -220,6 +296,22 @@ def test_trie_shares_prefixes():
     assert len(trie.best) == 6
 
 
+def test_very_long_words(spark):
+    """Equal to brute force beyond the trie's depth; a word of 300,000 characters leaves no nodes behind."""
+    pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "aba": -3.1, "abab": -3.5, "bb": -4.0}
+    r = random.Random(6)
+    trie = tokencount.Trie(pieces)
+    for n in (10, 199, 200, 201, 450):
+        word = "▁" + "".join(r.choice("abc") for _ in range(n))
+        assert trie.insert(word) == brute_tokens(word, pieces)
+    trie.insert("▁" + "ab" * 150_000)
+    assert len(trie.best) <= 6 * tokencount.TRIE_DEPTH
+    path = tokenizer("piece_bpe_32k.model")
+    docs = frame(spark, [(1, "the " + "x" * 300_000), (2, "the")]).withColumn("n_tokens", F.lit("clash"))
+    got = {x.doc_id: x for x in tokencount.token_counts(docs, path).collect()}
+    assert got[1].n_words == 2 and got[1].n_tokens > got[2].n_tokens == 1
+
+
 def test_token_counts_odd_rows(spark):
     path = tokenizer("piece_bpe_32k.model")
     got = {(r.doc_id, r.n_words) for r in tokencount.token_counts(frame(spark, ODD), path).collect()}

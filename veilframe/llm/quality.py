@@ -2,7 +2,8 @@
 
 A text is compressed in pieces with a zstandard dictionary built from text labelled good
 and with one built from text labelled bad. The difference of the compressed sizes, over
-the uncompressed size, becomes a probability by a logistic fit on other labelled rows.
+the uncompressed size and a constant, becomes a probability by a logistic fit on other
+labelled rows. The constant draws texts too short for a difference to the base rate.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import crc_fold, slices
 #: Bytes of a piece: short, so that the dictionary and not the text's own past is what helps.
 PIECE = 1024
 LEVEL = 5
-#: Bytes of a text that is half short.
+#: Bytes added to a text's size, so that a few bytes tell little.
 SHORT = 50
 DICTIONARY_BYTES = 256 * 1024
 #: Labelled rows a class for the dictionaries, pieces a class taken from them, and rows a class for the calibration.
@@ -27,7 +28,7 @@ SAMPLE_ROWS, SAMPLE_PIECES, CALIBRATION_ROWS = 3000, 6000, 3000
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, weights=(0.0, 0.0, 0.0)):
+    def __init__(self, good: bytes, bad: bytes, weights=(0.0, 0.0)):
         self.dictionaries = (good, bad)
         self.weights = weights
         self._ready = None
@@ -39,12 +40,8 @@ class Model:
         self.dictionaries, self.weights = state
         self._ready = None
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """(size with the bad dictionary - size with the good one) / size, and how short the text is.
-
-        The second, from 1 for an empty text down to 0, gives texts too short for a
-        difference their own base rate.
-        """
+    def feature(self, text: str | None) -> float:
+        """(size with the bad dictionary - size with the good one) / (size + SHORT); 0 for an empty text."""
         if self._ready is None:
             self._ready = []
             for data in self.dictionaries:
@@ -53,17 +50,14 @@ class Model:
                 self._ready.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         good, bad = self._ready
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if not raw:
-            return 0.0, 1.0
         diff = 0
         for k in range(0, len(raw), PIECE):
             part = raw[k : k + PIECE]
             diff += len(bad(part)) - len(good(part))
-        return diff / len(raw), SHORT / (SHORT + len(raw))
+        return diff / (len(raw) + SHORT)
 
     def score(self, text: str | None) -> float:
-        x, short = self.features(text)
-        z = self.weights[0] + self.weights[1] * x + self.weights[2] * short
+        z = self.weights[0] + self.weights[1] * self.feature(text)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -95,9 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_use, sample_rows: int = SAMPLE_R
     """Fit on labelled rows for which ``may_use`` (a condition on doc_id) holds.
 
     Half of them, by a hash, feed the dictionaries, the others the calibration; each is a
-    bounded sample. Null labels are left out. Without both classes every score is 0.5.
+    bounded sample. Null labels are left out, and doc_ids with both labels. Without both
+    classes every score is 0.5.
     """
-    labels = labels.where(may_use & F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    labels = labels.where(may_use & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    labels = labels.where("quality = most").select("doc_id", "quality")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     texts = docs.select("doc_id", "text").where("text is not null")
 
@@ -114,14 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, may_use, sample_rows: int = SAMPLE_R
 
     def run(batches):
         for batch in slices(batches):
-            found = [model.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column("quality").cast(pa.int32())], names=["x", "short", "y"])
+            found = [model.feature(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("quality").cast(pa.int32())], names=["x", "y"])
 
-    found = held.mapInArrow(run, "x double, short double, y int").toArrow()
+    found = held.mapInArrow(run, "x double, y int").toArrow()
     y = np.array(found["y"], float)
     counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if all(sets) and len(counts) == 2 and len(set(y)) == 2:
-        w = _logistic(np.column_stack([found["x"], found["short"]]), y)
+        w = _logistic(np.array(found["x"], float)[:, None], y)
         # The sample is balanced, the labels are not: weigh the intercept back.
         w0 = w[0] + float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
         model.weights = (w0, *w[1:])
@@ -139,7 +135,7 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of each row, from its whole text alone.
 
-    A null or empty text gets the base rate of the shortest texts. Repeated rows and null doc_ids
+    A null or empty text gets the rate of texts without a difference. Repeated rows and null doc_ids
     are scored like others; other columns are ignored; an empty table gives no rows.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

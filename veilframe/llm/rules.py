@@ -1,11 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a text whose measure reaches a cutoff. Per stratum (a band of text
-lengths) and rule, cutoffs of a fixed list are tried from the most lenient on. On the
-labelled good rows an exact binomial test must show that the rule rejects less than
-``RISK`` of the good texts; the first failure ends the sequence, so one test level covers
-it, and the level is divided by the number of rules and strata. With probability
-``1 - ERROR`` no accepted rule breaks its limit in any stratum.
+lengths) a path of levels tightens all rules together; one part of the labelled good
+rows, by a hash, lays it out, and the others, the holdout, are tested along it. At every
+level an exact binomial test must show that all rules together reject less than ``RISK``
+of the good texts; the first failure ends the sequence, so that one test level covers it,
+and ``ERROR`` is divided by the number of strata. With probability ``1 - ERROR`` the rules
+in force keep that limit in every stratum.
+
+With S strata the holdout needs log(ERROR / S) / log(1 - RISK) good rows in each (149 for
+one stratum, 203 for three). Strata with fewer are united with a neighbour before any
+measure is looked at; where all rows together are too few, no rule is in force.
 """
 
 from __future__ import annotations
@@ -23,11 +28,14 @@ from .neardup import _mixed, _WordHashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Largest share of good texts that a rule may reject in a stratum; chance that any claim is wrong.
-RISK, ERROR = 0.005, 0.05
-#: Of that share, how much the holdout itself may show; sequences end before they use up the limit.
-SEEN = 0.2
-#: Lower ends of the strata, in words.
+#: Largest share of good texts that the rules may reject in a stratum; chance that any claim is wrong.
+RISK, ERROR = 0.02, 0.05
+#: Of ``FOLDS`` parts of the labelled good rows one lays out the paths, the others are the holdout.
+FOLDS = 3
+#: Levels: cutoffs by how many steps of their list each rule stays below its first cutoff that rejects a good row,
+#: then cutoffs that reject this share of ``RISK`` at most.
+MARGINS, SHARES = (16, 12, 9, 7, 5, 4, 3, 2, 1, 0), (1 / 80, 1 / 40)
+#: Lower ends of the strata, in words, where the labels allow so many.
 STRATA = (0, 100, 1000)
 #: Cutoffs by rule, from lenient to strict.
 RULES = {
@@ -90,27 +98,54 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoffs(good: dict, risk: float = RISK, error: float = ERROR, rules: dict | None = None) -> dict:
-    """``good``: (stratum, rule) -> good rows by how many cutoffs, from the strictest on, their measure reaches.
+def least_rows(risk: float, level: float) -> int:
+    """Holdout rows without which no test can succeed."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
 
-    Returns (stratum, rule) -> strictest cutoff that its sequence of tests accepts.
+
+def strata(sizes: dict[int, int], risk: float = RISK, error: float = ERROR) -> list[int]:
+    """Lower ends of the strata that have holdout rows enough; ``sizes``: holdout rows by number in ``STRATA``."""
+    ends, n = list(STRATA), [sizes.get(k, 0) for k in range(len(STRATA))]
+    while len(n) > 1 and min(n) < least_rows(risk, error / len(n)):
+        k = n.index(min(n))
+        near = max(0, k - 1) if k == len(n) - 1 or k and n[k - 1] <= n[k + 1] else k
+        n[near : near + 2] = [sum(n[near : near + 2])]
+        del ends[near + 1]
+    return ends
+
+
+def path(reached: dict, risk: float = RISK, rules: dict | None = None) -> list[dict]:
+    """Levels, each rule -> cutoff, from lenient to strict.
+
+    ``reached``: rule -> good rows by how many cutoffs, from the strictest on, their
+    measure reaches.
     """
-    rules = rules or RULES
-    level = error / (len(rules) * len(STRATA))
-    out = {}
-    for (stratum, rule), reached in good.items():
-        n = sum(reached.values())
-        for k, cutoff in enumerate(rules[rule]):
-            rejected = sum(v for j, v in reached.items() if j >= len(rules[rule]) - k)
-            if rejected > SEEN * risk * n or binomial_cdf(rejected, n, risk) > level:
-                break
-            out[stratum, rule] = cutoff
+    rules, out = rules or RULES, []
+    for margin, share in [(m, 0.0) for m in MARGINS] + [(0, x * risk) for x in SHARES]:
+        level = {}
+        for rule, cutoffs in rules.items():
+            counts = reached.get(rule, {})
+            n = sum(counts.values())
+            # Good rows that cutoff k rejects: those whose measure reaches at least as many as there are from k on.
+            fine = [k for k in range(len(cutoffs)) if sum(v for j, v in counts.items() if j >= len(cutoffs) - k) <= share * n]
+            k = (fine[-1] if fine else -1) - margin
+            if n and k >= 0:
+                level[rule] = cutoffs[k]
+        out.append(level)
     return out
 
 
-def _stratum():
+def accepted(rejected: list[int], n: int, risk: float, level: float) -> int:
+    """Levels that hold, of those that reject so many of ``n`` holdout rows; the first failure ends the sequence."""
+    for k, x in enumerate(rejected):
+        if binomial_cdf(x, n, risk) > level:
+            return k
+    return len(rejected)
+
+
+def _stratum(ends: list[int]):
     out = F.lit(0)
-    for k, least in enumerate(STRATA):
+    for k, least in enumerate(ends):
         out = F.when(F.col("n_words") >= least, F.lit(k)).otherwise(out)
     return out
 
@@ -127,34 +162,60 @@ def stats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def fit(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict:
-    """Cutoffs from ``rows`` (of ``stats``) that ``labels(doc_id, quality)`` calls good.
+_BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
-    Only counts by stratum, rule and cutoff reach the driver.
-    """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
-    def cutoffs_reached(rule, measure):
-        return F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda c: c <= measure))
+def fit(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> tuple[list[int], dict]:
+    """Lower ends of the strata and, by (stratum, rule), the cutoffs in force.
 
-    reached = F.array(*(F.struct(F.lit(rule).alias("rule"), cutoffs_reached(rule, m).alias("k")) for rule, m in measures().items()))
-    counts = rows.join(good, "doc_id").select(_stratum().alias("stratum"), F.explode(reached).alias("x")).groupBy("stratum", "x.rule", "x.k").agg(F.count("*").alias("n"))
+    From ``rows`` (of ``stats``) that pass the base rule and that ``labels(doc_id,
+    quality)`` calls good and never bad. Only counts by stratum, rule, cutoff and level
+    reach the driver.
+    """
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = 1 and r = 1").select("doc_id")
+    mine = rows.where(f"not ({_BASE_FAILED})").join(good, "doc_id")
+    lays_out = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
+    sizes = {r["s"]: r["n"] for r in mine.where(~lays_out).groupBy(_stratum(list(STRATA)).alias("s")).agg(F.count("*").alias("n")).collect()}
+    ends = strata(sizes, risk, error)
+    level = error / len(ends)
+
+    def reached(cutoffs, measure):
+        return F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: c <= measure)) if cutoffs else F.lit(0)
+
+    by_rule = F.array(*(F.struct(F.lit(rule).alias("rule"), reached(RULES[rule], m).alias("k")) for rule, m in measures().items()))
+    counts = mine.where(lays_out).select(_stratum(ends).alias("s"), F.explode(by_rule).alias("x")).groupBy("s", "x.rule", "x.k").agg(F.count("*").alias("n"))
     found: dict = {}
     for r in counts.collect():
-        found.setdefault((r["stratum"], r["rule"]), {})[r["k"]] = r["n"]
-    return choose_cutoffs(found, risk, error)
+        found.setdefault(r["s"], {}).setdefault(r["rule"], {})[r["k"]] = r["n"]
+    paths = {s: path(x, risk) for s, x in found.items()}
+
+    # Levels, from the strictest on, at which some rule rejects a row. A rule not in force has a cutoff out of reach.
+    strictness = F.lit(0)
+    for s, levels in paths.items():
+        joint = F.greatest(*(reached([x.get(rule, float("inf")) for x in levels], m) for rule, m in measures().items()))
+        strictness = F.when(_stratum(ends) == s, joint).otherwise(strictness)
+    counts = mine.where(~lays_out).select(_stratum(ends).alias("s"), strictness.alias("k")).groupBy("s", "k").agg(F.count("*").alias("n"))
+    held: dict = {}
+    for r in counts.collect():
+        held.setdefault(r["s"], {})[r["k"]] = r["n"]
+    out = {}
+    for s, levels in paths.items():
+        rejected = [sum(v for j, v in held.get(s, {}).items() if j >= len(levels) - k) for k in range(len(levels))]
+        if k := accepted(rejected, sum(held.get(s, {}).values()), risk, level):
+            out |= {(s, rule): cutoff for rule, cutoff in levels[k - 1].items()}
+    return ends, out
 
 
-def judge(rows: DataFrame, cutoffs: dict) -> DataFrame:
+def judge(rows: DataFrame, ends: list[int], cutoffs: dict) -> DataFrame:
     """``rows`` of ``stats`` with base_failed, failed_rules and kept."""
     failed = []
     for rule, m in measures().items():
         cutoff = F.lit(None).cast("double")
-        for k in range(len(STRATA)):
+        for k in range(len(ends)):
             if (k, rule) in cutoffs:
-                cutoff = F.when(_stratum() == k, F.lit(cutoffs[k, rule])).otherwise(cutoff)
+                cutoff = F.when(_stratum(ends) == k, F.lit(cutoffs[k, rule])).otherwise(cutoff)
         failed.append(F.when(m >= cutoff, F.lit(rule)))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    rows = rows.withColumn("base_failed", F.expr(_BASE_FAILED))
     rows = rows.withColumn("failed_rules", F.array_compact(F.array(*failed)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
@@ -163,10 +224,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error:
     """doc_id, n_words, the base counts, base_failed, kept and failed_rules of each row.
 
     A null text has no words and fails the base rule. Rows with null doc_id are judged but
-    never labelled; repeated rows are judged alike; other columns are ignored. Where too
-    few good rows are labelled to prove a limit, that rule rejects nothing; so does every
-    rule on an empty label table. An empty table gives no rows.
+    never labelled; a doc_id that is labelled both good and bad counts as neither; repeated
+    rows are judged alike; other columns are ignored. Where too few good rows are labelled
+    to prove the limit, and on an empty label table, the rules reject nothing. An empty
+    table gives no rows.
     """
     rows = staged(stats(docs), "stats")
-    out = judge(rows, fit(rows, labels, risk, error))
+    out = judge(rows, *fit(rows, labels, risk, error))
     return out.select("doc_id", *_STATS[:5], "base_failed", "kept", "failed_rules")
