@@ -30,7 +30,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole maximal repeated runs; the oracle SQL of op4_line_dedup tells windows forward only."""
+    """Whole maximal repeated runs; op4_line_dedup follows its oracle SQL, which has windows forward only."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), both_ways=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
@@ -78,5 +78,6 @@ QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
     "op2_near_duplicates": neardup.oracle(3, 85),
     "op4_line_dedup": linededup.ORACLE,
+    "op4_line_dedup_maximal": linededup.MAXIMAL_ORACLE,
     "op8_suffix_dedup": suffixdedup.ORACLE,
 }
