@@ -17,43 +17,35 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def match_spans(df: DataFrame, keys: list[str], pattern: str, text: str = "text", value_group: bool = False) -> DataFrame:
-    """Every match with half-open code-point offsets: ``keys``, start, end, match.
+def match_spans(df: DataFrame, keys: list[str], pattern: str, text: str = "text", lead: str | None = None) -> DataFrame:
+    """Every match with half-open code-point offsets: ``keys``, start, end, match. See ``match_many``."""
+    return match_many(df, keys, {"one": (lead, pattern) if lead else pattern}, text).drop("kind")
 
-    ``pattern`` must have no capturing group; with ``value_group`` it must have exactly
-    two, the second being the match and the first what stands before it. Gaps and matches
-    are taken alternately; the ``\\z`` branch keeps the scan linear. Only pieces, never
-    the text, pass the window, which is per key.
-    """
-    whole = rf"(?s)(.*?)(?:{pattern}|\z)" if value_group else rf"(?s)(.*?)({pattern}|\z)"
-    parts = [F.regexp_extract_all(col(text), F.lit(whole), F.lit(k)) for k in range(1, 4 if value_group else 3)]
-    names = ["gap", "lead", "match"] if value_group else ["gap", "match"]
-    zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, names)))
-    rows = df.where(col(text).rlike(pattern)).select(*keys, F.posexplode(zipped).alias("_pos", "_p"))
-    lead = F.length(F.col("_p")[names[1]]) if value_group else F.lit(0)
-    rows = rows.select(*keys, "_pos", F.length(F.col("_p")[names[0]]).alias("_gap"), lead.alias("_lead"), F.col("_p")[names[-1]].alias("match"))
-    order = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("_gap") + F.col("_lead") + F.length("match")).over(order)
-    return rows.withColumn("end", end).where("length(match) > 0").select(*keys, (F.col("end") - F.length("match")).alias("start"), "end", "match")
-
-
-def match_many(df: DataFrame, keys: list[str], patterns: dict[str, str], text: str = "text") -> DataFrame:
-    """``match_spans`` of several patterns in one scan, with ``kind``, the pattern's name.
-
-    A text is cut up only by the patterns that it holds at all.
+
+def match_many(df: DataFrame, keys: list[str], patterns: dict, text: str = "text") -> DataFrame:
+    """Matches of several patterns in one scan: ``keys``, kind (the pattern's name), start, end, match.
+
+    A pattern has no capturing group; a pair (lead, pattern) also takes what must stand
+    before the match and is no part of it. A text is cut up only by the patterns that it
+    holds at all: at their matches, by lengths of what is between them. Only these lengths
+    and the matches, never the text, pass the window, which is per key and kind.
     """
 
-    def pieces(pattern: str) -> Column:
-        whole = F.lit(rf"(?s)(.*?)({pattern}|\z)")
-        both = F.arrays_zip(F.regexp_extract_all(col(text), whole, F.lit(1)).alias("gap"), F.regexp_extract_all(col(text), whole, F.lit(2)).alias("match"))
-        return F.when(col(text).rlike(pattern), both)
+    def pieces(pattern) -> Column:
+        lead, value = pattern if isinstance(pattern, tuple) else (None, pattern)
+        whole = f"({lead})({value})" if lead else value
+        gaps = F.transform(F.split(col(text), whole, -1), F.length)
+        found = F.regexp_extract_all(col(text), F.lit(whole), F.lit(0))
+        leads = F.transform(F.regexp_extract_all(col(text), F.lit(whole), F.lit(1)), F.length) if lead else F.transform(found, lambda x: F.lit(0))
+        return F.when(col(text).rlike(whole), F.arrays_zip(gaps.alias("gap"), found.alias("whole"), leads.alias("lead")))
 
     found = F.array(*(F.struct(F.lit(n).alias("kind"), pieces(p).alias("pieces")) for n, p in patterns.items()))
     rows = df.select(*keys, F.explode(found).alias("_f")).where("_f.pieces is not null").select(*keys, "_f.kind", F.posexplode("_f.pieces").alias("_pos", "_p"))
-    rows = rows.select(*keys, "kind", "_pos", F.length("_p.gap").alias("_gap"), F.col("_p.match").alias("match"))
+    rows = rows.where("_p.whole is not null").select(*keys, "kind", "_pos", "_p.gap", "_p.whole", "_p.lead")
     order = Window.partitionBy(*keys, "kind").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("_gap") + F.length("match")).over(order)).where("length(match) > 0")
-    return rows.select(*keys, "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match")
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("whole")).over(order))
+    match = F.substring(F.col("whole"), F.col("lead") + 1, F.length("whole"))
+    return rows.select(*keys, "kind", (F.col("end") - F.length("whole") + F.col("lead")).alias("start"), "end", match.alias("match")).where("length(match) > 0")
 
 
 def alnum_count(c) -> Column:

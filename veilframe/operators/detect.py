@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.labels import promote, reclassify
-from ..functions.text import match_many, match_spans
+from ..functions.text import match_many
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ RECOGNIZERS = {
 }
 
 #: Values said after a word for an identifier or a code: (type, lead, value, score). The longer words come first.
+#: The words are fixed values.
 CONTEXT_RULES = [
     ("CUSTOMER_IDENTIFIER", r"(?i:\b(?:customer|client|member|user|policy|account|receipt|transaction|order)\s*(?:identifier|id|number|no\.?|#)\s*(?:is\b|:|=)?\s*)", r"(?=[A-Za-z-]{0,23}[0-9])[A-Za-z0-9][A-Za-z0-9-]{3,23}(?![A-Za-z0-9-])", 0.9),
     ("SECURITY_CODE", r"(?i:\b(?:pin|otp|one[-\s]*time\s*(?:password|pin)|passcode|security\s*code|verification\s*code)\s*(?:is\b|:|=)?\s*)", r"[0-9]{4,8}(?![0-9A-Za-z])", 0.92),
@@ -60,16 +61,36 @@ def _valid(kind: str | None, c: Column) -> Column:
     return iban_valid(c) if kind == "iban" else F.lit(True)
 
 
+def _patterns(types: list[str] | None, context: bool) -> dict:
+    out: dict = {t: RECOGNIZERS[t].pattern for t in (RECOGNIZERS if types is None else types)}
+    return out | ({t: (lead, value) for t, lead, value, _ in CONTEXT_RULES} if context else {})
+
+
+def holds_any(text: str = "text", types: list[str] | None = None, context: bool = True) -> Column:
+    """Whether a text can have spans at all; it needs no spans to be known."""
+    whole = [f"{p[0]}{p[1]}" if isinstance(p, tuple) else p for p in _patterns(types, context).values()]
+    return reduce(lambda a, b: a | b, (F.col(text).rlike(p) for p in whole))
+
+
+def _scan(docs: DataFrame, key: str, text: str, types: list[str] | None, context: bool) -> DataFrame:
+    """Valid matches of recognizers and, with ``context``, of the contextual rules, in one scan."""
+    spans = match_many(docs, [key], _patterns(types, context), text)
+    kind, valid, score = F.col("kind"), F.lit(True), F.lit(None).cast("double")
+    for t in RECOGNIZERS if types is None else types:
+        r = RECOGNIZERS[t]
+        score = F.when(kind == t, F.lit(r.score)).otherwise(score)
+        if r.check:
+            valid = F.when(kind == t, _valid(r.check, F.col("match"))).otherwise(valid)
+    for t, _, _, sure in CONTEXT_RULES if context else ():
+        score = F.when(kind == t, F.lit(sure)).otherwise(score)
+        if t == "CUSTOMER_IDENTIFIER":
+            valid = F.when(kind == t, (F.length("match") >= 6) | (F.length(F.regexp_replace("match", "[^0-9]", "")) >= 6)).otherwise(valid)
+    return spans.where(valid).select(key, "start", "end", kind.alias("entity_type"), score.alias("score"), "match")
+
+
 def recognize(docs: DataFrame, types: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start, end, entity_type, score, match of every recognizer's valid matches, in one scan."""
-    used = [RECOGNIZERS[t] for t in types or RECOGNIZERS]
-    spans = match_many(docs, [key], {r.entity_type: r.pattern for r in used}, text)
-    valid, score = F.lit(True), F.lit(None).cast("double")
-    for r in used:
-        score = F.when(F.col("kind") == r.entity_type, F.lit(r.score)).otherwise(score)
-        if r.check:
-            valid = F.when(F.col("kind") == r.entity_type, _valid(r.check, F.col("match"))).otherwise(valid)
-    return spans.where(valid).select(key, "start", "end", F.col("kind").alias("entity_type"), score.alias("score"), "match")
+    return _scan(docs, key, text, types, context=False)
 
 
 def contextual(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,20 +98,19 @@ def contextual(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     An identifier needs a digit, and six characters of any kind or six digits.
     """
-    found = []
-    for entity_type, lead, value, score in CONTEXT_RULES:
-        spans = match_spans(docs, [key], f"({lead})({value})", text, value_group=True)
-        if entity_type == "CUSTOMER_IDENTIFIER":
-            spans = spans.where((F.length("match") >= 6) | (F.length(F.regexp_replace("match", "[^0-9]", "")) >= 6))
-        found.append(spans.select(key, "start", "end", F.lit(entity_type).alias("entity_type"), F.lit(score).alias("score"), "match"))
-    return reduce(DataFrame.unionByName, found)
+    return _scan(docs, key, text, [], context=True)
+
 
+def refine(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = DEFAULT.min_entity_confidence, lowest: float = 0.0) -> DataFrame:
+    """Reclassify by name, promote by context, then keep scores of at least ``least``.
 
-def refine(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = DEFAULT.min_entity_confidence) -> DataFrame:
-    """Reclassify by name, promote by context, then keep scores of at least ``least``."""
+    ``lowest``: what no score is below. If that is enough already, no text is looked at.
+    """
     spans = spans.withColumn("entity_type", reclassify("entity_type", "match"))
-    sure, unsure = spans.where(F.col("score") >= least), spans.where(F.col("score") < least)
+    if lowest >= least:
+        return spans
     context = F.substring(F.col(text), F.greatest(F.col("start") - 48, F.lit(0)) + 1, F.least(F.col("start"), F.lit(48)) + F.col("end") - F.col("start") + 24)
+    sure, unsure = spans.where(F.col("score") >= least), spans.where(F.col("score") < least)
     unsure = unsure.join(docs.select(key, text), key).withColumn("_p", promote("entity_type", "score", "match", context))
     unsure = unsure.withColumn("entity_type", F.col("_p.entity_type")).withColumn("score", F.col("_p.score")).select(*spans.columns)
     return sure.unionByName(unsure.where(F.col("score") >= least))
@@ -103,9 +123,9 @@ def dedupe_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", types: list[str] | None = None) -> DataFrame:
-    """All text detectors, refined and without repeats."""
-    found = recognize(docs, types, key, text).unionByName(contextual(docs, key, text))
-    return dedupe_spans(refine(found, docs, key, text), key)
+    """All text detectors, refined and without repeats, in one scan of ``docs``."""
+    lowest = min([RECOGNIZERS[t].score for t in (RECOGNIZERS if types is None else types)] + [r[3] for r in CONTEXT_RULES])
+    return dedupe_spans(refine(_scan(docs, key, text, types, context=True), docs, key, text, lowest=lowest), key)
 
 
 def face_detections(boxes: DataFrame) -> DataFrame:

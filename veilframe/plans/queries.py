@@ -134,8 +134,7 @@ def page_gate(spark, sf_dir):
 @query(f"""SELECT s.doc_id, s.start, s."end", s.entity_type, w.word_index, w.word FROM ({SPANS}) s JOIN ({WORDS}) w
   ON s.doc_id = w.doc_id AND w.start < s."end" AND w."end" > s.start""")
 def span_word_localization(spark, sf_dir):
-    docs, spans = _docs(spark, sf_dir), _spans(spark, sf_dir)
-    hits = localize.overlap_join(spans, sanitize.placed_words(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")))
+    hits = localize.overlap_join(_spans(spark, sf_dir), sanitize.placed_words(_docs(spark, sf_dir).where(detect.holds_any())))
     return hits.select("doc_id", "start", "end", "entity_type", F.col("word_index").cast("long").alias("word_index"), F.col("text").alias("word"))
 
 
@@ -199,8 +198,8 @@ def masked_text(spark, sf_dir):
 
 @query(f"""SELECT doc_id, start, "end", entity_type, max(score) AS score, max(match) AS match FROM ({SPANS}) WHERE score >= 0.7 GROUP BY doc_id, start, "end", entity_type, lower(match)""")
 def span_dedup(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
-    return detect.dedupe_spans(spans.union(spans.withColumn("score", F.col("score") / 2))).where("score >= 0.7")
+    spans = _spans(spark, sf_dir).withColumn("half", F.explode(F.array(F.lit(1.0), F.lit(0.5))))
+    return detect.dedupe_spans(spans.withColumn("score", F.col("score") * F.col("half")).drop("half")).where("score >= 0.7")
 
 
 @query(f"""SELECT entity_type, CASE WHEN entity_type IN ({", ".join(f"'{t}'" for t in labels.HIGH_RISK)}) THEN 'high' ELSE 'standard' END AS risk_tier, count(*) AS n FROM ({SPANS}) GROUP BY 1, 2""")
@@ -335,11 +334,17 @@ def fuzzy_normalize(spark, sf_dir):
 
 def _detections(spark, sf_dir):
     """Two detections of every span: one as recognized, one of another source and, for some, another type."""
-    docs, spans = _docs(spark, sf_dir), _spans(spark, sf_dir)
-    rows = sanitize.detections(docs, spans).withColumn("seq", F.col("seq") * 2)
-    other = rows.withColumn("seq", F.col("seq") + 1).withColumn("source", F.lit("LLM")).withColumn("supporting_sources", F.array(F.lit("LLM")))
-    other = other.withColumn("entity_type", F.when(F.pmod(F.length("entity_text"), F.lit(2)) == 0, "LEGAL_PARTY_NAME").otherwise(F.col("entity_type"))).withColumn("confidence_score", F.lit(0.8))
-    return rows.union(other)
+    rows = sanitize.detections(_docs(spark, sf_dir).where(detect.holds_any()), _spans(spark, sf_dir), held=True)
+    rows = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("seq", F.col("seq") * 2 + F.col("again"))
+    again, even = F.col("again") == 1, F.pmod(F.length("entity_text"), F.lit(2)) == 0
+    return rows.withColumns(
+        {
+            "source": F.when(again, "LLM").otherwise(F.col("source")),
+            "supporting_sources": F.when(again, F.array(F.lit("LLM"))).otherwise(F.col("supporting_sources")),
+            "entity_type": F.when(again & even, "LEGAL_PARTY_NAME").otherwise(F.col("entity_type")),
+            "confidence_score": F.when(again, 0.8).otherwise(F.col("confidence_score")),
+        }
+    ).drop("again")
 
 
 @query(f"""WITH h AS (SELECT s.*, w.start AS w0, w."end" AS w1, w.word FROM ({SPANS}) s JOIN ({WORDS}) w ON s.doc_id = w.doc_id AND w.start < s."end" AND w."end" > s.start),

@@ -9,7 +9,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.boxes import tighten
 from ..functions.labels import is_low_signal, is_oversized, normalize_category, risk_tier
 from ..functions.payloads import parse_answer
-from ..operators.detect import detect
+from ..operators.detect import detect, holds_any
 from ..operators.fuzzy import localize_quotes
 from ..operators.localize import span_boxes
 from ..operators.resolve import resolve_entities
@@ -25,9 +25,13 @@ def placed_words(docs: DataFrame) -> DataFrame:
     return word_spans(docs).select("doc_id", "word_index", F.col("word").alias("text"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "bbox", "line_key")
 
 
-def detections(docs: DataFrame, spans: DataFrame, source: str = "Presidio") -> DataFrame:
-    """Spans as detections with the boxes of their words. Only texts with spans are cut into words."""
-    some = docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
+def detections(docs: DataFrame, spans: DataFrame, source: str = "Presidio", held: bool = False) -> DataFrame:
+    """Spans as detections with the boxes of their words. Only texts with spans are cut into words.
+
+    ``held``: ``docs`` has few texts without spans, so that spans need not be worked out
+    once more to find those with some.
+    """
+    some = docs if held else docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = spans.withColumn("seq", F.col("start") * 64 + F.pmod(F.hash("entity_type", "end"), F.lit(64)))
     boxes = span_boxes(rows, placed_words(some), ["doc_id", "seq", "entity_type", "start", "end", "score", "match"])
     return boxes.select(
@@ -47,7 +51,7 @@ def answer_spans(answers: DataFrame, words: DataFrame, config: EngineConfig = DE
 
 def entities(docs: DataFrame, config: EngineConfig = DEFAULT, types: list[str] | None = None) -> DataFrame:
     """Reconciled entities of ``docs(doc_id, text)`` with boxes ready for redaction."""
-    found = detections(docs, detect(docs, types=types))
+    found = detections(docs.where(holds_any(types=types)), detect(docs, types=types), held=True)
     return resolve_entities(found, config.min_entity_confidence).withColumn("boxes", F.transform("boxes", lambda b: tighten(b, config)))
 
 
