@@ -25,19 +25,30 @@ def iou_pairs(predicted: DataFrame, gold: DataFrame, least: float = DEFAULT.matc
 
 
 def match_spans(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One-to-one matches, greedily by IoU, score, prediction and gold index, in each document."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["iou", "score", "pred_index", "gold_index"], ascending=[False, False, True, True])
-        preds, golds, keep = set(), set(), []
-        for k, (p, g) in enumerate(zip(rows["pred_index"], rows["gold_index"])):
-            if p not in preds and g not in golds:
-                preds.add(p)
-                golds.add(g)
-                keep.append(k)
-        return rows.iloc[keep]
-
-    return pairs.groupBy(key).applyInPandas(run, pairs.schema)
+    """One-to-one matches, greedily by IoU, score, prediction and gold index, in each document.
+
+    A document's pairs are in order in one row, and the rows are taken in batches.
+    """
+    kinds = {f.name: f for f in pairs.schema}
+    others = [c for c in pairs.columns if c != key]
+    order = F.struct((-F.col("iou")).alias("_1"), (-F.col("score")).alias("_2"), F.col("pred_index").alias("_3"), F.col("gold_index").alias("_4"), *(F.col(c).alias(f"o_{c}") for c in others))
+    rows = pairs.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_p"))
+
+    def taken(preds: pd.Series, golds: pd.Series) -> pd.Series:
+        out = []
+        for p, g in zip(preds, golds):
+            seen_p, seen_g, keep = set(), set(), []
+            for k, (a, b) in enumerate(zip(p, g)):
+                if a not in seen_p and b not in seen_g:
+                    seen_p.add(a)
+                    seen_g.add(b)
+                    keep.append(k)
+            out.append(keep)
+        return pd.Series(out, dtype=object)
+
+    at = F.explode(F.pandas_udf(taken, "array<int>")(F.col("_p._3"), F.col("_p._4")))
+    rows = rows.select(key, "_p", at.alias("_k")).select(key, F.get("_p", F.col("_k")).alias("_m"))
+    return rows.select(*(F.col(key) if c == key else F.col("_m")[f"o_{c}"].cast(kinds[c].dataType).alias(c) for c in pairs.columns))
 
 
 def capability_slice(spans: DataFrame) -> DataFrame:

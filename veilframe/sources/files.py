@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +77,16 @@ def _gold(mask, labels):
     return out
 
 
+def _gold_batch(mask: pd.Series, labels: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("start", "end", "label", "value"), x)) for x in _gold(a, b)] for a, b in zip(mask, labels)], dtype=object)
+
+
 def gold_spans(rows: DataFrame) -> DataFrame:
     """Labelled spans of rows (id, source_text, privacy_mask, span_labels): the mask's if it has any, else the labels'.
 
     Both are JSON or Python literals. Offsets are clamped to the text; a start of 0 is one.
     """
-    rows = rows.select("id", "source_text", F.explode(F.udf(_gold, _SPANS)("privacy_mask", "span_labels")).alias("g"))
+    rows = rows.select("id", "source_text", F.explode(F.pandas_udf(_gold_batch, _SPANS)("privacy_mask", "span_labels")).alias("g"))
     start, end = F.greatest(F.lit(0), F.col("g.start")), F.least(F.length("source_text"), F.col("g.end"))
     rows = rows.select("id", start.alias("start"), end.alias("end"), normalize_label("g.label").alias("label"), F.coalesce(F.nullif(F.trim("g.value"), F.lit("")), F.substring("source_text", start + 1, end - start)).alias("text"))
     return rows.where("end > start").dropDuplicates(["id", "start", "end", "label"]).withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("gold"))

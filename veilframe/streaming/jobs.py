@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT
@@ -23,20 +24,34 @@ def intake(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", qu
 def work(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], results: str, statuses: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Run ``process`` on each batch of jobs (with job_id); write its results and every job's final status.
 
-    A batch that fails leaves ``failed`` with the error and the stream goes on. A batch's
+    If a batch fails its jobs are run again in halves, so that in the end only those that
+    fail on their own are ``failed``, each with its error; the stream goes on. A batch's
     folders are named by its number and overwritten, so a batch that is run again after a
     crash writes nothing twice.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        try:
-            process(batch).write.mode("overwrite").parquet(f"{results}/batch={number}")
-            status, error = "completed", None
-        except Exception as e:  # noqa: BLE001 - whatever it was, it is the job's error
-            status, error = "failed", str(e)[:400]
-        done = batch.select("job_id").distinct().withColumns({"status": F.lit(status), "error": F.lit(error).cast("string"), "updated_at": F.current_timestamp()})
-        done.write.mode("overwrite").parquet(f"{statuses}/batch={number}")
+        place, failed = f"{results}/batch={number}", []
+
+        def attempt(rows: DataFrame, ids: list | None, mode: str) -> None:
+            try:
+                process(rows).write.mode(mode).parquet(place)
+            except Exception as e:  # noqa: BLE001 - whatever it was, it is the job's error
+                if ids is None:  # no more than one batch's jobs
+                    ids = [r["job_id"] for r in batch.select("job_id").distinct().orderBy("job_id").collect()]
+                if len(ids) < 2:
+                    failed.extend((x, str(e)[:400]) for x in ids)
+                    return
+                half = len(ids) // 2
+                for part in (ids[:half], ids[half:]):
+                    attempt(batch.where(F.col("job_id").isin(part)), part, "append")
+
+        attempt(batch, None, "overwrite")
+        done = batch.select("job_id").distinct()
+        bad = batch.sparkSession.createDataFrame(failed, T.StructType([batch.schema["job_id"], T.StructField("error", T.StringType())]))
+        done = done.join(bad, "job_id", "left").withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed"))
+        done.select("job_id", "status", "error", F.current_timestamp().alias("updated_at")).write.mode("overwrite").parquet(f"{statuses}/batch={number}")
         batch.unpersist()
 
     writer = jobs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
