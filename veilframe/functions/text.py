@@ -22,24 +22,26 @@ def match_spans(df: DataFrame, keys: list[str], pattern: str, text: str = "text"
     return match_many(df, keys, {"one": (lead, pattern) if lead else pattern}, text).drop("kind")
 
 
-def match_many(df: DataFrame, keys: list[str], patterns: dict, text: str = "text") -> DataFrame:
+def match_many(df: DataFrame, keys: list[str], patterns: dict, text: str = "text", possible: dict | None = None) -> DataFrame:
     """Matches of several patterns in one scan: ``keys``, kind (the pattern's name), start, end, match.
 
     A pattern has no capturing group; a pair (lead, pattern) also takes what must stand
     before the match and is no part of it. A text is cut up only by the patterns that it
     holds at all: at their matches, by lengths of what is between them. Only these lengths
     and the matches, never the text, pass the window, which is per key and kind.
+    ``possible``: by name, a cheap condition without which a text holds no match.
     """
 
-    def pieces(pattern) -> Column:
+    def pieces(name: str, pattern) -> Column:
         lead, value = pattern if isinstance(pattern, tuple) else (None, pattern)
         whole = f"({lead})({value})" if lead else value
         gaps = F.transform(F.split(col(text), whole, -1), F.length)
         found = F.regexp_extract_all(col(text), F.lit(whole), F.lit(0))
         leads = F.transform(F.regexp_extract_all(col(text), F.lit(whole), F.lit(1)), F.length) if lead else F.transform(found, lambda x: F.lit(0))
-        return F.when(col(text).rlike(whole), F.arrays_zip(gaps.alias("gap"), found.alias("whole"), leads.alias("lead")))
+        held = col(text).rlike(whole) if not possible or name not in possible else possible[name] & col(text).rlike(whole)
+        return F.when(held, F.arrays_zip(gaps.alias("gap"), found.alias("whole"), leads.alias("lead")))
 
-    found = F.array(*(F.struct(F.lit(n).alias("kind"), pieces(p).alias("pieces")) for n, p in patterns.items()))
+    found = F.array(*(F.struct(F.lit(n).alias("kind"), pieces(n, p).alias("pieces")) for n, p in patterns.items()))
     rows = df.select(*keys, F.explode(found).alias("_f")).where("_f.pieces is not null").select(*keys, "_f.kind", F.posexplode("_f.pieces").alias("_pos", "_p"))
     rows = rows.where("_p.whole is not null").select(*keys, "kind", "_pos", "_p.gap", "_p.whole", "_p.lead")
     order = Window.partitionBy(*keys, "kind").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)

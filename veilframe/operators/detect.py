@@ -15,27 +15,28 @@ from ..functions.text import match_many
 
 @dataclass(frozen=True)
 class Recognizer:
-    """A pattern without capturing groups, its base score and an optional test of the match."""
+    """A pattern without capturing groups, its base score, an optional test of the match, and a piece of text in every match."""
 
     entity_type: str
     pattern: str
     score: float
     check: str | None = None
+    holds: str = ""
 
 
 #: Patterns use ASCII classes only, so that every regular-expression engine agrees on them.
 RECOGNIZERS = {
     r.entity_type: r
     for r in (
-        Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
-        Recognizer("URL", r"https?://[^ \t\r\n\"<>]+", 0.85),
+        Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, holds="@"),
+        Recognizer("URL", r"https?://[^ \t\r\n\"<>]+", 0.85, holds="://"),
         Recognizer("IP_ADDRESS", r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}", 0.95),
         Recognizer("CREDIT_CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", 0.9, "luhn"),
-        Recognizer("PHONE_NUMBER", r"\+[0-9]{1,3} \([0-9]{2,4}\) [0-9]{3}-[0-9]{4}", 0.75),
+        Recognizer("PHONE_NUMBER", r"\+[0-9]{1,3} \([0-9]{2,4}\) [0-9]{3}-[0-9]{4}", 0.75, holds="+"),
         Recognizer("IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", 0.8, "iban"),
         Recognizer("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85),
         Recognizer("DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?", 0.85),
-        Recognizer("PASSWORD", r"(?:token|password|secret|api_key) ?[=:] ?\"[^\" \n]{8,}\"", 0.9),
+        Recognizer("PASSWORD", r"(?:token|password|secret|api_key) ?[=:] ?\"[^\" \n]{8,}\"", 0.9, holds="\""),
     )
 }
 
@@ -66,15 +67,25 @@ def _patterns(types: list[str] | None, context: bool) -> dict:
     return out | ({t: (lead, value) for t, lead, value, _ in CONTEXT_RULES} if context else {})
 
 
+#: Shapes within every match of a type that are cheaper to look for than the match.
+_SHAPES = {"IP_ADDRESS": r"[0-9]\.[0-9]", "CUSTOMER_IDENTIFIER": "[0-9]", "SECURITY_CODE": "[0-9]{4}"}
+
+
+def _possible(text: str) -> dict[str, Column]:
+    out = {t: F.col(text).contains(r.holds) for t, r in RECOGNIZERS.items() if r.holds}
+    return out | {t: F.col(text).rlike(p) for t, p in _SHAPES.items()}
+
+
 def holds_any(text: str = "text", types: list[str] | None = None, context: bool = True) -> Column:
     """Whether a text can have spans at all; it needs no spans to be known."""
-    whole = [f"{p[0]}{p[1]}" if isinstance(p, tuple) else p for p in _patterns(types, context).values()]
-    return reduce(lambda a, b: a | b, (F.col(text).rlike(p) for p in whole))
+    possible = _possible(text)
+    whole = {t: f"{p[0]}{p[1]}" if isinstance(p, tuple) else p for t, p in _patterns(types, context).items()}
+    return reduce(lambda a, b: a | b, (possible.get(t, F.lit(True)) & F.col(text).rlike(p) for t, p in whole.items()))
 
 
 def _scan(docs: DataFrame, key: str, text: str, types: list[str] | None, context: bool) -> DataFrame:
     """Valid matches of recognizers and, with ``context``, of the contextual rules, in one scan."""
-    spans = match_many(docs, [key], _patterns(types, context), text)
+    spans = match_many(docs, [key], _patterns(types, context), text, _possible(text))
     kind, valid, score = F.col("kind"), F.lit(True), F.lit(None).cast("double")
     for t in RECOGNIZERS if types is None else types:
         r = RECOGNIZERS[t]
