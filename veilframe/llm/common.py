@@ -95,6 +95,15 @@ def drop(*tables: DataFrame) -> None:
             _files(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+#: Rows of a few keys each, tens of bytes, that may be sent to every executor (some 20 MB there).
+SEND_ROWS = 300_000
+
+
+def sendable(df: DataFrame) -> DataFrame:
+    """A staged table of keys, to be sent to every executor if it has few rows; else a join deals out both sides."""
+    return F.broadcast(df) if df.count() <= SEND_ROWS else df
+
+
 @contextmanager
 def scratch():
     """Tables staged within the block go at its end, but for those handed to the function it yields."""

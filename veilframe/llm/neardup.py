@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop, per_worker, scratch, slices, staged
+from .common import drop, per_worker, scratch, sendable, slices, staged
 from .components import components
 
 #: Minima in a band.
@@ -146,7 +146,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found.num_rows:
                 yield found
 
-    joined = pairs.join(sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("b")), "v")
+    joined = sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("b")).join(pairs, "v")
     joined = joined.join(sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("a")), "u")
     return joined.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
@@ -223,13 +223,15 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
 
     # Written first, so that the texts are moved only if their ids are too many to be sent to all.
     wanted = staged(members.select("set_key").distinct().join(reps, "set_key").select("rep").distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    texts = docs.select("doc_id", "text").join(sendable(wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = staged(_sets(texts, words).dropDuplicates(["set_key"]), "sets")
     drop(wanted)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        return staged(_verified(pairs, sets, percent), "verified")
+        pairs = staged(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "pairs")
+        found = staged(_verified(sendable(pairs), sets, percent), "verified")
+        drop(pairs)
+        return found
 
     def joined(links: DataFrame) -> DataFrame:
         """Components of the links found so far; the tables of the rounds go."""
