@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import MutableMapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,45 @@ class EngineConfig:
 
 DEFAULT = EngineConfig()
 
+#: ``NAME=value`` of an env file: the value bare up to a comment, or quoted.
+_SETTING = re.compile(r"""\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:"((?:\\.|[^"\\])*)"|'([^']*)'|((?:(?!\s#)[^\n])*))""")
+
+
+def read_env(text: str, env: MutableMapping[str, str]) -> dict[str, str]:
+    """Settings of an env file's text; those that ``env`` lacks are put there.
+
+    A ``#`` begins a comment at a line's start or after white space, but not in quotes.
+    Lines that are no settings are passed over; of repeated names the last counts.
+    """
+    found: dict[str, str] = {}
+    for line in text.splitlines():
+        m = None if line.lstrip().startswith("#") else _SETTING.match(line)
+        if m:
+            value = next((g for g in m.groups()[1:] if g is not None), "")
+            found[m.group(1)] = re.sub(r"\\(.)", r"\1", value) if m.group(2) is not None else value if m.group(3) is not None else "" if value.startswith("#") else value.strip()
+    for name, value in found.items():
+        env.setdefault(name, value)
+    return found
+
+
+def from_env(env: MutableMapping[str, str], prefix: str = "VEILFRAME_") -> EngineConfig:
+    """The defaults, changed by variables like VEILFRAME_CHUNK_SIZE; a value that does not fit its setting's type raises ValueError."""
+    changed = {}
+    for f in fields(EngineConfig):
+        raw = env.get(prefix + f.name.upper())
+        if raw is None:
+            continue
+        kind = type(f.default)
+        if kind is bool:
+            if raw.lower() not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
+                raise ValueError(f"{f.name}: {raw!r} is no truth value")
+            changed[f.name] = raw.lower() in ("1", "true", "yes", "on")
+        else:
+            changed[f.name] = kind(raw)
+    return EngineConfig(**changed)
+
+
+
 #: Bounding box of a word or entity, in page points; pages count from 0.
 BOX = "struct<page_number:int,x0:double,y0:double,x1:double,y1:double>"
 WORDS = f"doc_id long, word_index int, text string, bbox {BOX}, line_key string"

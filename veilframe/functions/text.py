@@ -130,6 +130,13 @@ def sanitized_name(c) -> Column:
     return F.concat(F.lit("sanitized_"), F.regexp_replace(F.element_at(F.split(col(c), "/"), -1), r"(?i)\.pdf$", ""), F.lit(".pdf"))
 
 
+def with_psm(c, psm) -> Column:
+    """OCR options with this page segmentation mode in place of the one given, or added."""
+    x, mode = strip(c), F.concat(F.lit("--psm "), F.lit(psm).cast("string") if isinstance(psm, int) else psm.cast("string"))
+    given = x.rlike(r"(?:^|\s)--psm[ =]\s*\d+")
+    return F.when(given, F.regexp_replace(x, F.lit(r"(?<!\S)--psm[ =]\s*\d+"), mode)).otherwise(F.trim(F.concat_ws(" ", F.nullif(x, F.lit("")), mode)))
+
+
 def compact(c, most: int = 400) -> Column:
     """White space collapsed, cut with an ellipsis."""
     x = collapse(c)
