@@ -5,11 +5,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULT
 from ..functions.labels import capability_label, normalize_label
 from ..functions.numbers import elapsed, safe_divide, span_iou
 
+#: Percentiles of a summary, and the binary logarithm of the ranges that a group is cut into to find them.
+PERCENTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95}
+CUT_LEVELS = 8
+
 
 def iou_pairs(predicted: DataFrame, gold: DataFrame, least: float = DEFAULT.match_iou, key: str = "doc_id") -> DataFrame:
     """Predicted and gold spans of one document and label with at least this overlap: pred_index, gold_index, iou, score.
@@ -71,12 +76,36 @@ def confusion(predicted: DataFrame, gold: DataFrame, matches: DataFrame, key: st
 
 
 def numeric_summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """count, min, max, mean, median, p90 and p95, linearly interpolated; nulls without rows."""
-    aggs = [
-        F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-        F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("p90"), F.percentile(value, 0.95).alias("p95"),
-    ]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    """count, min, max, mean, median, p90 and p95, exact and linearly interpolated; nulls without values.
+
+    The ranks that are asked for are found by narrowing, so that no group is ever held in one
+    buffer: equal values are counted first, a sketch of fixed size cuts each group into
+    ``2 ** CUT_LEVELS`` ranges, their counts tell which ranges hold the ranks, and only the
+    values of those (six at most) are put in order. The sketch moves the borders of the ranges, never the result.
+    """
+    keys, x = keys or [], F.col(value)
+    rows = df.select(F.struct(*keys).alias("_k") if keys else F.struct(F.lit(0).alias("_0")).alias("_k"), x.alias("_x"), x.cast("double").alias("_v"))
+    shares = [k / 2**CUT_LEVELS for k in range(1, 2**CUT_LEVELS)]
+    sums = (rows.groupBy("_k") if keys else rows).agg(
+        F.count("_x").alias("count"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"),
+        F.percentile_approx("_v", shares, 10000).alias("_cuts"), *([] if keys else [F.struct(F.lit(0).alias("_0")).alias("_k")]),
+    )
+    at = {name: F.lit(p) * (F.col("count") - 1) for name, p in PERCENTILES.items()}
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(c), F.ceil(c)) for c in at.values()))))
+    cuts, wanted = (sums.where("count > 0").select("_k", c) for c in ("_cuts", ranks.alias("_ranks")))
+    cut = rows.where("_v is not null").groupBy("_k", "_v").agg(F.count("*").alias("_n")).join(cuts, "_k").withColumn("_bin", F.lit(0))
+    for level in reversed(range(CUT_LEVELS)):  # binary search for the number of cuts below the value
+        cut = cut.withColumn("_bin", F.col("_bin") + F.when(F.get("_cuts", F.col("_bin") + (2**level - 1)) < F.col("_v"), 2**level).otherwise(0))
+    within = lambda low, high: F.exists("_ranks", lambda r: (r >= F.col(low)) & (r < F.col(high)))
+    bins = cut.groupBy("_k", "_bin").agg(F.sum("_n").alias("_m")).join(wanted, "_k")
+    bins = bins.withColumn("_to", F.sum("_m").over(Window.partitionBy("_k").orderBy("_bin"))).withColumn("_from", F.col("_to") - F.col("_m"))
+    held = cut.drop("_cuts").join(bins.where(within("_from", "_to")).select("_k", "_bin", "_from", "_ranks"), ["_k", "_bin"])
+    held = held.withColumn("_to", F.col("_from") + F.sum("_n").over(Window.partitionBy("_k", "_bin").orderBy("_v"))).withColumn("_low", F.col("_to") - F.col("_n"))
+    found = held.where(within("_low", "_to")).groupBy("_k").agg(F.collect_list(F.struct("_low", "_to", "_v")).alias("_found"))
+    value_at = lambda rank: F.get(F.filter("_found", lambda f: (f["_low"] <= rank) & (rank < f["_to"])), 0)["_v"]
+    between = lambda c: F.when(F.floor(c) == c, value_at(F.floor(c))).otherwise(value_at(F.floor(c)) * (F.ceil(c) - c) + value_at(F.ceil(c)) * (c - F.floor(c)))
+    out = sums.join(found, "_k", "left")
+    return out.select(*(F.col("_k")[k].alias(k) for k in keys), "count", "min", "max", "mean", *(between(c).alias(name) for name, c in at.items()))
 
 
 def job_latency(jobs: DataFrame) -> DataFrame:

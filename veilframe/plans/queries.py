@@ -157,7 +157,8 @@ def box_clip_pad(spark, sf_dir):
     return rows.select("doc_id", "line_key", B.pad("b").alias("b")).select("doc_id", "line_key", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, line_key, min(start) AS x0, max("end") AS x1 FROM ({WORDS}) GROUP BY doc_id, line_key)
+  SELECT doc_id, line_key, (x0 - 0.8)::DOUBLE AS x0, -1.2::DOUBLE AS y0, least(x1, max((x0 + x1) / 2) OVER (PARTITION BY doc_id)) + 0.8 AS x1, 2.2::DOUBLE AS y1 FROM l""")
 def box_clip_pad_whole(spark, sf_dir):
     """Boxes of all lines: a document's page ends in the middle of its last line, which is clipped."""
     rows = localize.line_boxes(words.word_spans(_docs(spark, sf_dir)))
@@ -240,7 +241,7 @@ def _shifted(spark, sf_dir):
 
 PAIRS = f"""WITH s AS ({SPANS}), p AS (SELECT doc_id, entity_type AS label, start * 8 + length(entity_type) AS pred_index, start, "end", score FROM s),
   g AS (SELECT doc_id, entity_type AS label, start * 8 AS gold_index, start + start % 9 AS g0, "end" + start % 9 AS g1 FROM s),
-  x AS (SELECT p.doc_id, p.label, pred_index, gold_index, (least("end", g1) - greatest(start, g0)) / (greatest("end", g1) - least(start, g0))::DOUBLE AS iou
+  x AS (SELECT p.doc_id, p.label, pred_index, gold_index, score, (least("end", g1) - greatest(start, g0)) / (greatest("end", g1) - least(start, g0))::DOUBLE AS iou
     FROM p JOIN g ON p.doc_id = g.doc_id AND p.label = g.label AND least("end", g1) > greatest(start, g0))"""
 
 
@@ -250,7 +251,11 @@ def span_iou_pairs(spark, sf_dir):
     return rows.select("doc_id", "label", "pred_index", "gold_index", F.round("iou", 6).alias("iou"))
 
 
-@query()
+@query(PAIRS.replace("WITH s", "WITH RECURSIVE s", 1) + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY iou DESC, score DESC, pred_index, gold_index) AS n FROM x WHERE iou >= 0.5),
+  walk AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, []::BIGINT[] AS ps, []::BIGINT[] AS gs, false AS taken FROM r
+    UNION ALL SELECT w.doc_id, r.n, CASE WHEN f.free THEN list_append(ps, r.pred_index) ELSE ps END, CASE WHEN f.free THEN list_append(gs, r.gold_index) ELSE gs END, f.free
+      FROM walk w JOIN r ON r.doc_id = w.doc_id AND r.n = w.n + 1, LATERAL (SELECT NOT list_contains(w.ps, r.pred_index) AND NOT list_contains(w.gs, r.gold_index) AS free) f)
+  SELECT r.doc_id, label, pred_index::BIGINT AS pred_index, gold_index::BIGINT AS gold_index, iou, score FROM r JOIN walk w ON r.doc_id = w.doc_id AND r.n = w.n WHERE taken""")
 def span_matches(spark, sf_dir):
     return evaluate.match_spans(evaluate.iou_pairs(*_shifted(spark, sf_dir)))
 
@@ -317,7 +322,8 @@ def json_flatten(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.explode(payloads.json_flat(F.col("props"))).alias("path", "value"))
 
 
-@query()
+@query("""SELECT event_id, regexp_replace(substring(t.fullkey, 3), '\\[[0-9]+\\]', '', 'g') AS path, CASE WHEN t.atom IS NULL THEN 'null' ELSE t.atom->>'$' END AS value
+  FROM events, LATERAL (SELECT fullkey, atom, type FROM json_tree(props)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
 def json_flatten_nested(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.explode(payloads.flatten_column("props")).alias("p")).select("event_id", "p.path", "p.value")
 
@@ -360,7 +366,16 @@ def resolve_by_box(spark, sf_dir):
     return rows.select("doc_id", "box.x0", "box.x1", "entity_type", "confidence_score", "source", "decision_reason")
 
 
-@query()
+@query(f"""WITH h AS (SELECT s.*, w.start AS w0, w."end" AS w1 FROM ({SPANS}) s JOIN ({WORDS}) w ON s.doc_id = w.doc_id AND w.start < s."end" AND w."end" > s.start),
+  d AS (SELECT doc_id, w0, w1, entity_type, score AS conf, match, 0 AS llm, start FROM h UNION ALL
+        SELECT doc_id, w0, w1, CASE WHEN length(match) % 2 = 0 THEN 'LEGAL_PARTY_NAME' ELSE entity_type END, 0.8, match, 1, start FROM h),
+  p AS (SELECT *, CASE WHEN entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER') THEN 2 WHEN entity_type = 'LEGAL_PARTY_NAME' THEN 1 ELSE 0 END AS tier,
+        conf + CASE WHEN entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER') THEN 0.25 WHEN entity_type = 'LEGAL_PARTY_NAME' THEN 0.15 ELSE 0 END AS points FROM d),
+  t AS (SELECT doc_id, w0, w1, entity_type, max(row(tier, points, conf, -start, -llm)) AS claim, arg_max(match, row(conf, length(match), -start, -llm)) AS said, max(conf) AS conf, min(start) AS s, max(tier) AS tier FROM p GROUP BY ALL),
+  b AS (SELECT doc_id, w0, w1, arg_max(entity_type, claim) AS entity_type, arg_max(said, claim) AS said, max(conf) AS conf, min(s) AS s,
+    CASE WHEN count(*) = 1 THEN 'type_consensus' WHEN max(tier) = 2 THEN 'type_matrix_structured_priority' WHEN max(tier) = 1 THEN 'type_matrix_llm_context_priority' ELSE 'type_matrix_conflict_resolved' END AS reason FROM t GROUP BY doc_id, w0, w1)
+  SELECT doc_id, arg_min(said, row(s, w0)) AS entity_text, entity_type, max(conf)::DOUBLE AS confidence_score, 'Hybrid' AS source, 'Presidio,LLM' AS sources, arg_max(reason, row(s, w0)) AS decision_reason, count(*)::INT AS n_boxes, '1' AS pages
+  FROM b GROUP BY doc_id, lower(said), entity_type""")
 def entity_merge(spark, sf_dir):
     rows = resolve.pages_per_entity(resolve.resolve_entities(_detections(spark, sf_dir)))
     return sinks.api_entities(rows).select("doc_id", "entity_text", "entity_type", "confidence_score", "source", F.array_join("supporting_sources", ",").alias("sources"), "decision_reason", F.size("boxes").alias("n_boxes"), F.array_join("pages", ",").alias("pages"))
@@ -381,6 +396,19 @@ def contextual_spans(spark, sf_dir):
     return detect.contextual(_docs(spark, sf_dir))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS doc_id, 'Your order number is ORD-' || o_orderkey || '-' || o_custkey || '. The ' || CASE WHEN o_orderkey % 2 = 0 THEN 'passcode: ' ELSE 'parcel: ' END || (1000 + o_custkey % 9000) || ' opens it.' AS text,
+    'ORD-' || o_orderkey || '-' || o_custkey AS number, (1000 + o_custkey % 9000)::VARCHAR AS code FROM orders)
+  SELECT doc_id, 21::BIGINT AS start, 21 + length(number) AS "end", 'CUSTOMER_IDENTIFIER' AS entity_type, 0.9::DOUBLE AS score, number AS match FROM o
+  UNION ALL SELECT doc_id, strpos(text, ': ') + 1, strpos(text, ': ') + 1 + length(code), 'SECURITY_CODE', 0.92::DOUBLE, code FROM o WHERE doc_id % 2 = 0""")
+def contextual_order_spans(spark, sf_dir):
+    """Order numbers and codes that the words before them give away, in a notice on every order."""
+    notice = F.concat(
+        F.lit("Your order number is ORD-"), "o_orderkey", F.lit("-"), "o_custkey", F.lit(". The "),
+        F.when(F.col("o_orderkey") % 2 == 0, "passcode: ").otherwise("parcel: "), (F.col("o_custkey") % 9000 + 1000).cast("string"), F.lit(" opens it."),
+    )
+    return detect.contextual(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), notice.alias("text")))
+
+
 @query()
 def fuzzy_localization(spark, sf_dir):
     """Quotes from every turn of the conversations, each turn a page."""
@@ -391,7 +419,7 @@ def fuzzy_localization(spark, sf_dir):
     return fuzzy.localize_quotes(quotes, w)
 
 
-@query()
+@query("SELECT conv_id, turn, true AS ok, text AS quote, 'name' AS category, 0.9::DOUBLE AS confidence FROM conversations WHERE trim(text) <> ''")
 def answer_items(spark, sf_dir):
     item = F.to_json(F.struct(F.col("text").alias("quote"), F.lit("name").alias("category"), F.lit("90%").alias("confidence")))
     raw = F.concat(F.lit("<think>x</think>```json\n["), item, F.lit(",]\n```"))
@@ -415,7 +443,8 @@ def table_regions(spark, sf_dir):
     return cells.groupBy("doc_id", "confidence", "row_count", "col_count").agg(F.count("*").alias("cells"))
 
 
-@query()
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_returnflag) || ' | ' || max(l_quantity) || ' | ' || max(l_extendedprice) AS line FROM lineitem GROUP BY 1, 2)
+  SELECT doc_id, 0::INT AS page_number, 0::INT AS table_no, '[TABLE]' || chr(10) || string_agg(line, chr(10) ORDER BY n) || chr(10) || '[/TABLE]' AS text FROM r GROUP BY 1 HAVING count(*) >= 2""")
 def table_texts(spark, sf_dir):
     return tables.table_texts(tables.detect_tables(_grid(spark, sf_dir)))
 
