@@ -24,6 +24,8 @@ class EngineConfig:
     llm_text_limit: int = 20_000
     llm_raw_limit: int = 300_000
     llm_max_pages: int = 0
+    llm_passes: int = 2
+    llm_attempts: int = 3
     llm_min_chars: int = 0
     llm_skip_when_found: int = 0
     max_span_tokens: int = 14

@@ -143,12 +143,25 @@ def compact(c, most: int = 400) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 
 
-def prompt(text, table_hint: Column | None = None, retry: Column | None = None, limit: int = DEFAULT.llm_text_limit) -> Column:
-    """Messages that ask a language model for quotes as JSON; ``retry`` holds a response that could not be read."""
-    system = F.lit('List every personal or confidential item of the text. Answer with a JSON array of objects {"quote", "category", "confidence"} only; quotes are verbatim.')
+#: What an answer of a language model has to be.
+CONTRACT = (
+    "You find personal and confidential items in documents. Rules for the answer: "
+    "it is one JSON array and nothing else, no prose, no Markdown, no reasoning; "
+    'every element is an object with exactly the keys "quote", "category" and "confidence"; '
+    "a quote is copied character by character from the text, is the whole value and only the value, without its label or sentence; "
+    "web and e-mail addresses, numbers and identifiers are quoted as whole tokens; "
+    "a category is any fitting name in UPPER_SNAKE_CASE; a confidence is a number from 0 to 1; "
+    "no pair of quote and category comes twice; without findings the answer is []."
+)
+
+
+def prompt(text, table_hint: Column | None = None, retry: Column | None = None, limit: int = DEFAULT.llm_text_limit, reason: Column | None = None) -> Column:
+    """Messages that ask a language model for quotes as JSON; ``retry`` holds a response that could not be read, ``reason`` says why."""
+    nothing = F.lit(None).cast("string")
     table_hint = F.lit(False) if table_hint is None else table_hint
-    retry = F.lit(None) if retry is None else retry
-    table = F.when(table_hint, F.lit(" Rows between [TABLE] and [/TABLE] hold cells separated by |; quote single cells.")).otherwise(F.lit(""))
-    again = F.when(retry.isNotNull(), F.concat(F.lit("\nThe last answer could not be read: "), F.substring(retry.cast("string"), 1, 1200))).otherwise(F.lit(""))
-    user = F.concat(F.lit("Text:\n"), F.substring(col(text), 1, limit), again)
-    return F.array(F.struct(F.lit("system").alias("role"), F.concat(system, table).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+    retry, reason = nothing if retry is None else retry.cast("string"), nothing if reason is None else reason
+    table = F.when(table_hint, F.lit(" Rows between [TABLE] and [/TABLE] hold cells separated by |; quote single cells as they stand, wrapped ones too.")).otherwise(F.lit(""))
+    why = F.when(reason.isNotNull(), F.concat(F.lit("\n\nWhy you are asked again: "), reason)).otherwise(F.lit(""))
+    again = F.when(retry.isNotNull(), F.concat(F.lit("\nThe last answer could not be read: "), F.substring(collapse(retry), 1, 1200), F.lit("\nGive it as a JSON array."))).otherwise(F.lit(""))
+    user = F.concat(F.lit("Text:\n"), F.substring(col(text), 1, limit), why, again)
+    return F.array(F.struct(F.lit("system").alias("role"), F.concat(F.lit(CONTRACT), table).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))

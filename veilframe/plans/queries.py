@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import EngineConfig
 from ..functions import boxes as B
-from ..functions import labels, numbers, payloads, text, urls
+from ..functions import fonts, labels, numbers, payloads, text, urls
 from ..operators import canonical, detect, evaluate, fuzzy, localize, resolve, segments, tables
 from ..sources import sinks, words
 from ..streaming import jobs
+from . import pages as whole
 from . import sanitize
 
 QUERIES: dict = {}
@@ -452,3 +454,71 @@ def table_texts(spark, sf_dir):
 @query("""SELECT o_orderkey, round(greatest(0, least(1, CASE WHEN o_totalprice > 1 THEN o_totalprice / 100 ELSE o_totalprice END)), 6) AS confidence FROM orders""")
 def confidence_values(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.round(numbers.confidence("o_totalprice"), 6).alias("confidence"))
+
+
+def _paged(spark, sf_dir):
+    """Words of documents of four pages: four texts that follow one another by id."""
+    rows = words.word_spans(_docs(spark, sf_dir).where(detect.holds_any()))
+    page = (F.col("doc_id") % 4).cast("int")
+    box = B.box(page, F.col("bbox.x0"), F.col("bbox.y0"), F.col("bbox.x1"), F.col("bbox.y1"))
+    return rows.select(F.floor(F.col("doc_id") / 4).alias("doc_id"), page.alias("page_number"), "word_index", F.col("word").alias("text"), "line_key", box.alias("bbox"))
+
+
+FOUND = " UNION ALL ".join(f"({typed_sql(t, 'canon')})" for t in sanitize.TYPES)
+
+
+# Spans are those of the pages' canonical text, in which a line ends by a line feed.
+@query(CANONICAL + f""", canon AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY word_index) AS text FROM s GROUP BY doc_id),
+  placed AS (SELECT doc_id, word_index, length(word) AS n, sum(length(sep) + length(word)) OVER (PARTITION BY doc_id ORDER BY word_index)::BIGINT AS reach FROM s),
+  hit AS (SELECT DISTINCT p.doc_id, p.word_index FROM ({FOUND}) f JOIN placed p ON p.doc_id = f.doc_id AND p.reach - p.n < f."end" AND p.reach > f.start)
+  SELECT doc_id // 4 AS doc_id, (doc_id % 4)::INT AS page_number, greatest(0, w.start - 0.8)::DOUBLE AS x0, 0::DOUBLE AS y0, w."end"::DOUBLE + 0.8 AS x1, 2.2::DOUBLE AS y1 FROM w JOIN hit USING (doc_id, word_index)""")
+def redaction_boxes(spark, sf_dir):
+    """Boxes to blacken on every page: entities of whole documents, their boxes padded and clipped."""
+    placed = _paged(spark, sf_dir)
+    sizes = placed.groupBy("doc_id", "page_number").agg((F.max("bbox.x1") + 10).alias("width"), F.lit(100.0).alias("height"))
+    return whole.redaction_boxes(whole.document_entities(placed), sizes)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '/Times-Bold' WHEN 1 THEN '/ABCDEF+SanitizedFont' || p_partkey ELSE '/SanitizedFont' || p_partkey END AS font FROM part""")
+def font_names(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 3 == 0, "/Times-Bold").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("/ABCDEF+"), "p_type")).otherwise(F.concat(F.lit("/"), "p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", fonts.scrubbed_font("name", "p_partkey").alias("font"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS w, 4 + l_linenumber AS h FROM lineitem),
+  i AS (SELECT *, least(least(3, w * 0.1), (w - greatest(0.8, w * 0.32)) / 2) AS ix, least(least(1.5, h * 0.2), (h - greatest(0.8, h * 0.4)) / 2) AS iy FROM b)
+  SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(ix, 0) - 0.8, 6) AS x0, round(greatest(iy, 0) - 1.2, 6) AS y0, round(w - greatest(ix, 0) + 0.8, 6) AS x1, round((h - greatest(iy, 0) + 1.2)::DOUBLE, 6) AS y1 FROM i""")
+def box_tighten(spark, sf_dir):
+    config = EngineConfig(tighten=True, inset_x_ratio=0.1, inset_x_max=3.0, inset_y_ratio=0.2, inset_y_max=1.5)
+    b = B.box(F.lit(0), F.lit(0.0), F.lit(0.0), F.col("l_quantity"), (F.col("l_linenumber") + 4).cast("double"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", B.tighten(b, config).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *(F.round(F.col("b")[e], 6).alias(e) for e in ("x0", "y0", "x1", "y1")))
+
+
+def _states(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "failed").otherwise("queued")
+    return jobs.latest_states(read(spark, sf_dir, "events").withColumn("status", kind), "user_id", "status", "ts", "event_id")
+
+
+STATES = """WITH s AS (SELECT user_id, arg_max(CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'queued' END, row(ts, event_id)) AS status, max(ts) AS updated_at FROM events GROUP BY 1)"""
+
+
+@query(STATES + " SELECT * FROM s WHERE status = 'queued' OR updated_at >= TIMESTAMP '2024-01-30 17:00:00' - INTERVAL 1800 SECOND")
+def live_jobs(spark, sf_dir):
+    return jobs.visible(_states(spark, sf_dir), F.lit("2024-01-30 17:00:00").cast("timestamp"))
+
+
+@query(STATES + """, p AS (SELECT user_id, max(event_id) % 150 / 100 AS progress FROM events WHERE event_type = 'click' GROUP BY 1)
+  SELECT user_id, status, coalesce(least(1, progress), CASE WHEN status = 'completed' THEN 1 ELSE 0 END)::DOUBLE AS progress, CASE WHEN p.user_id IS NULL THEN status ELSE 'clicked' END AS message FROM s LEFT JOIN p USING (user_id)""")
+def job_progress(spark, sf_dir):
+    seen = read(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("job_id")).agg((F.max("event_id") % 150 / 100).alias("progress"), F.lit("clicked").alias("message"))
+    rows = jobs.job_status(_states(spark, sf_dir).select(F.col("user_id").alias("job_id"), "status"), seen)
+    return rows.select(F.col("job_id").alias("user_id"), "status", "progress", "message")
+
+
+@query("""SELECT conv_id, turn, '[{"n": ' || turn || ', "t": "' || length(text) || '"} ]' AS answer FROM conversations WHERE text IS NOT NULL""")
+def answer_cleaning(spark, sf_dir):
+    """Answers without thoughts, code fences, curly quotes and commas before a bracket; the turn's whole text is the thought."""
+    raw = F.concat(F.lit("<think>"), "text", F.lit("</think>\n```json\n[{“n”: "), F.col("turn").cast("string"), F.lit(", “t”: “"), F.length("text").cast("string"), F.lit("”,}, ]\n```"))
+    rows = read(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", text.repair_json(text.strip_fence(text.strip_think(raw))).alias("answer"))

@@ -20,6 +20,7 @@ KINDS = {
     "ner": "doc_id long, chunk_no int, start int, end int, entity_type string, score double",
     "vision": "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double",
     "llm": "doc_id long, page_number int, raw string",
+    "chat": "doc_id long, page_number int, pass_no int, has_table boolean, raw string, error string",
     "pdf_writer": "doc_id long, content binary",
 }
 
