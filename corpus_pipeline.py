@@ -29,14 +29,22 @@ def _unpacked(docs: DataFrame, like: DataFrame, **changed) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language learned from the labelled ones; without letters they go."""
+    """Documents in a language learned from the labelled ones; without letters they go.
+
+    So do null and empty texts. Repeated rows are judged alike; an empty table, or one
+    without labelled rows, leaves none.
+    """
     model = langid.fit(docs, crc_fold(F.col("doc_id"), 4) != 2)
     found = langid.identify(_carried(docs), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return _unpacked(found, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the runs of lines that repeat earlier ones; texts left empty go."""
+    """Texts without the runs of lines that repeat earlier ones; texts left empty go.
+
+    Earlier is by doc_id, then by place. Null and empty texts that lost nothing stay as they
+    are; n_chars is counted anew where lines went. An empty table stays empty.
+    """
     out = linededup.dedup_lines(_carried(docs), both_ways=True).where("n_removed = 0 or trim(text) != ''")
     if "n_chars" not in docs.columns:
         return _unpacked(out, docs)
@@ -44,7 +52,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least doc_id."""
+    """One document of each near-duplicate group, the one with the least doc_id.
+
+    Documents without words are linked with nothing and stay, null ids too. Where an id
+    occurs more than once, its rows with equal texts become one. An empty table stays empty.
+    """
     found = staged(neardup.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY), "near")
     kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
@@ -54,12 +66,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, repeated rows are judged alike; without
+    benchmark items all stay.
+    """
     return _unpacked(decontam.decontaminate(_carried(docs), table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens.
+
+    A null or empty text is its closing id alone; repeated rows are packed each. An empty
+    table gives no pieces.
+    """
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
