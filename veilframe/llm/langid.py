@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import nothing, slices
 
 #: Letters in an n-gram; log2 of the number of hash buckets.
 GRAM, BITS = 3, 15
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, labelled, sample_rows: int = SAMPLE_ROWS) -> Mixture:
         chosen = chosen | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30))))
 
     def run(batches):
+        nothing()
         sums: dict = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -154,6 +155,7 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
+        nothing()
         for batch in slices(batches):
             got = [model.infer(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
